@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import mixing, quality_rules
+from terraloom.llm import mixing, near_dedup, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": mixing.op1_source_mixing,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
