@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import mixing, near_dedup, quality_rules
+from terraloom.llm import mixing, near_dedup, packing, quality_rules, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": mixing.op1_source_mixing,
         "op2_near_dedup": near_dedup.op2_near_dedup,
+        "op6_sequence_packing": packing.op6_sequence_packing,
+        "op8_huffman_tokens": token_store.op8_huffman_tokens,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
