@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import mixing, near_dedup, packing, quality_rules, token_store
+from terraloom.llm import mixing, near_dedup, packing, quality_rules, secret_scan, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_source_mixing": mixing.op1_source_mixing,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op6_sequence_packing": packing.op6_sequence_packing,
+        "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_huffman_tokens": token_store.op8_huffman_tokens,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
