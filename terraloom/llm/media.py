@@ -169,14 +169,14 @@ def _table(body: bytes) -> tuple[dict[tuple[int, int], int], int]:
 
 class _Bits:
     def __init__(self, data: bytes) -> None:
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
+        self.data, self.at = data, 0
 
     def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < 0:
+        first, self.at = self.at, self.at + n
+        if self.at > 8 * len(self.data):
             raise ValueError("scan ends early")
-        out = (self.value >> self.left) & ((1 << n) - 1)
-        return out
+        last = (self.at + 7) >> 3
+        return (int.from_bytes(self.data[first >> 3 : last], "big") >> (8 * last - self.at)) & ((1 << n) - 1)
 
     def symbol(self, codes: dict[tuple[int, int], int]) -> int:
         code = 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import media, mixing, near_dedup, packing, pii, quality_rules, secret_scan, token_store
+from terraloom.llm import html_main, media, mixing, near_dedup, packing, pii, quality_rules, secret_scan, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sequence_packing": packing.op6_sequence_packing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_huffman_tokens": token_store.op8_huffman_tokens,
+        "op9_main_text": html_main.op9_main_text,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
