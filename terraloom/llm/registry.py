@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import html_main, media, mixing, near_dedup, packing, pii, quality_rules, secret_scan, token_store
+from terraloom.llm import html_main, media, mixing, near_dedup, packing, pii, quality_rules, secret_scan, substring_dedup, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": mixing.op1_source_mixing,
         "op2_near_dedup": near_dedup.op2_near_dedup,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_personal_data": pii.op4_personal_data,
         "op5_media_columns": media.op5_media_columns,
         "op6_sequence_packing": packing.op6_sequence_packing,
