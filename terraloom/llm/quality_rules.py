@@ -169,7 +169,9 @@ def filter_documents(docs: DataFrame, labels: DataFrame, stratum_col: str = "lan
     metrics = stage(with_metrics(slim).drop("text"), "quality")
     cutoffs = calibrate(metrics, labels, risk=risk, delta=delta)
     judged = with_verdict(with_metrics(docs, prefix="_q_"), cutoffs, stratum_col, prefix="_q_")
-    return judged.where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # An explode rather than a filter: Catalyst would push a filter below the steps and repeat them inside it.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.select(F.explode(F.when(F.col("_q_kept"), F.array(row))).alias("row")).select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
