@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from terraloom.plans import corpus, retrieval, warehouse  # noqa: F401  they register their queries
+from terraloom.plans.base import QUERIES, SQL, Query
 
 FLAGSHIP = "m1_rank_by_sum"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
