@@ -72,7 +72,7 @@ def allow_list(df: DataFrame, column: str, names: DataFrame, aliases: Mapping[st
 
 def clean_list(column: Column, separator: str = ";") -> Column:
     """Trimmed, non-empty entries of a separated list, the first of entries equal but for case."""
-    parts = F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), separator), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
     keys = F.transform(parts, F.lower)
     return F.filter(parts, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
 
