@@ -6,11 +6,13 @@ pi over the set shifted by k places, pi((sigma + k) mod 2^32). Rows of coordinat
 that share a band hash are candidates, and full sets confirm a link. Bands are chosen so that a pair at
 the threshold is missed with a probability below `miss`.
 
-Equal sets are one class from the start, so copies never form pairs. Within a bucket, no pairs are listed
-either: each round takes a few members of its smallest components as hubs, tests every other member
-against them unless both are already connected, then sets the hubs aside. A bucket closes when what is
-left is one component, so every pair of a bucket is tested or connected, while a round emits at most
-hubs x members rows. Links are contracted to components by alternating large and small stars.
+Equal sets are one class from the start, so copies never form pairs, and within a bucket no pairs are listed either.
+First, all members of a bucket are tested against its most popular one. Buckets that then still hold several
+components are followed up exactly: small ones as they are; the members of large ones are dealt anew by their rarest
+shingles, since sets that are to share enough must share one of those. In rounds, a few members of the smallest
+components of a bucket become hubs, every member of another component is tested against them, and they are set aside.
+A bucket closes when what is left is one component, so every pair of a bucket is tested, connected or ruled out by
+its shingles. Links are contracted to components by alternating large and small stars.
 
 Defined cases: null, empty and wordless texts have an empty set, are linked with nothing, and are their own
 component; rows with a null doc_id take part in links, and are kept only in components without any id;
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import cut, pieces, small, stage, table, utf8
@@ -123,7 +126,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def bands_for(percent: int, rows: int = 4, miss: float = 1e-6) -> int:
+def bands_for(percent: int, rows: int = 6, miss: float = 1e-6) -> int:
     """The number of bands with which a pair at the threshold is missed with a probability of at most `miss`."""
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
 
@@ -196,7 +199,39 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85, rows: int = 4, miss: float = 1e-6, hubs: int = 8) -> DataFrame:
+def _tests(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components and matching size from rows (node, comp, n, hubs)."""
+    fits = lambda h: (h["node"] != F.col("node")) & (h["comp"] != F.col("comp")) & (100 * F.least("n", h["n"]) >= percent * F.greatest("n", h["n"]))
+    tests = rows.select("node", F.explode(F.filter("hubs", fits)).alias("h"))
+    return stage(tests.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "pairs")
+
+
+def _connect(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, comp) after joining the components of every link (a, b)."""
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    between = links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+    return cut(labels.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")))
+
+
+def _prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets (bucket, node, n) by shared rare shingles, for rows (node, comp, n, least) of classes in large buckets.
+
+    least: the smallest set in a bucket with the node. A partner shares at least `need` shingles, so it has one of any
+    n - need + 1 of the node's; the rarest are taken, in one order for all nodes. Shingles of one component alone
+    use up that number, but make no bucket.
+    """
+    n, other = F.col("n"), F.least(F.col("n"), F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100)))
+    need = F.ceil(percent * (n + other) / (100 + percent) - 1e-9)
+    nodes = rows.groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.max(n - need + 1).alias("most"))
+    items = stage(nodes.join(sets, "node").select("node", "comp", "n", "most", F.explode("items").alias("bucket")), "items")
+    df = items.groupBy("bucket").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("open"))
+    order = W.partitionBy("node").orderBy("df", "bucket")
+    ranked = items.join(df, "bucket").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("open") & (F.col("rank") <= F.col("most"))).select("bucket", "node", "n")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85, rows: int = 6, miss: float = 1e-6, hubs: int = 4, large: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     bands = bands_for(percent, rows, miss)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -205,42 +240,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row for each distinct set, then the buckets that hold at least two of them.
     classes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = stage(classes.select("node", "doc_id", "n", F.explode("bands").alias("bucket")), "members")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    left = stage(members.join(shared, "bucket", "left_semi"), "buckets")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    left = stage(members.join(shared, "bucket"), "buckets")
 
-    # Full sets of the classes in those buckets, from one text each.
-    wanted = cut(left.select("doc_id", "node").distinct())
+    # Full sets of the classes in those buckets, from one text each. A class in many large buckets is popular.
+    wanted = cut(left.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.sum("c").alias("pop")))
     held = texts.join(small(wanted.select("doc_id").distinct(), 1_000_000), "doc_id", "left_semi")
     if wanted.where("doc_id IS NULL").limit(1).count():
         held = held.unionByName(texts.where("doc_id IS NULL"))
     sets = held.select("text").mapInArrow(_hold(shingle), "node long, items array<long>").join(small(wanted.select("node"), 1_000_000), "node", "left_semi")
     sets = stage(sets.groupBy("node").agg(F.first("items").alias("items")), "sets")
 
-    labels = cut(wanted.select("node", F.col("node").alias("comp")))
-    rest, first = left.select("bucket", "node", "n"), True
+    # First every bucket's members against its most popular one, which is close to most of a group of near copies.
+    known = left.join(wanted.select("node", "pop"), "node").select("bucket", "node", "n", "pop", F.col("node").alias("comp"))
+    tops = known.groupBy("bucket").agg(F.array(F.max(F.struct("pop", "node", "comp", "n"))).alias("hubs"))
+    labels = wanted.select("node", F.col("node").alias("comp"))
+    links = cut(_verify(_tests(known.join(tops, "bucket"), percent), sets, percent))
+    if links.limit(1).count():
+        labels = _connect(labels, links)
+
+    # Then what is left of the buckets: small ones as they are, large ones divided by rare shingles.
+    now = left.join(labels, "node")
+    ends = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi")
+    open_rows = stage(now.join(ends.select("bucket", "least"), "bucket"), "open")
+    rest = open_rows.where(F.col("c") <= large).select("bucket", "node", "n").unionByName(_prefixes(open_rows.where(F.col("c") > large), sets, percent))
+    spots = hubs
     while True:
-        if first:
-            rest = rest.select("*", F.col("node").alias("comp"), F.lit(1).cast("long").alias("weight"))
-        else:
-            sizes = labels.groupBy("comp").agg(F.count("*").alias("weight"))
-            rest = rest.join(labels.join(sizes, "comp"), "node")
-        spots = 1 if first else hubs
+        sizes = labels.groupBy("comp").agg(F.count("*").alias("weight"))
+        rest = rest.join(labels.join(sizes, "comp"), "node")
         salt = F.pmod(F.xxhash64("node"), F.lit(spots))
         tops = rest.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("weight", "node", "comp", "n")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         chosen = tops.groupBy("bucket").agg(F.collect_list("hub").alias("hubs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("bucket", "hubs")
         rest = stage(rest.drop("weight").join(chosen, "bucket"), "open")
         if rest.limit(1).count() == 0:
             break
-        tests = rest.select("node", "comp", "n", F.explode("hubs").alias("h")).where("node <> h.node AND comp <> h.comp")
-        tests = tests.where(100 * F.least("n", F.col("h.n")) >= percent * F.greatest("n", F.col("h.n")))
-        pairs = stage(tests.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "pairs")
-        links = cut(_verify(pairs, sets, percent))
+        links = cut(_verify(_tests(rest, percent), sets, percent))
         if links.limit(1).count():
-            name = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-            merged = components(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
-            labels = cut(labels.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")))
+            labels = _connect(labels, links)
         rest = rest.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "n")
-        first = False
+        spots = min(4 * spots, 256)
 
     # Least doc_id of each component; sets that share no bucket are components of their own.
     ids = classes.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
