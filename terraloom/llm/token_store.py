@@ -122,7 +122,12 @@ def decode(bits: bytes, offsets: np.ndarray, n: int, lookup: np.ndarray, step: i
 _BLOCK = "part int, block int, start_in_part long, n_ids long, doc_ids array<bigint>, counts array<bigint>, checkpoints array<bigint>, bits binary"
 
 
-def _tokenize(path: str):
+def _kind(size: int) -> str:
+    """The stored form of ids below size."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _tokenize(path: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
@@ -132,26 +137,26 @@ def _tokenize(path: str):
                 keep = np.ones(len(own), bool)
                 keep[ends - 1] = False
                 own[keep], own[~keep] = ids, END
-                offsets = pa.py_buffer((np.concatenate([[0], ends]) * 4).astype(np.int32).tobytes())
-                values = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(own.astype("<u4").tobytes())])
+                offsets = pa.py_buffer((np.concatenate([[0], ends]) * np.dtype(kind).itemsize).astype(np.int32).tobytes())
+                values = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(own.astype(kind).tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(ends)), values], ["doc_id", "ids"])
 
     return run
 
 
-def _count(size: int):
+def _count(size: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             data, _ = utf8(batch.column(0))
-            total += np.bincount(data.view("<u4"), minlength=size)
+            total += np.bincount(data.view(kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
     return run
 
 
-def _write(lengths: np.ndarray):
+def _write(lengths: np.ndarray, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, block, start, size, part = canonical(lengths), 0, 0, 0, None
         held: list[np.ndarray] = []
@@ -170,7 +175,7 @@ def _write(lengths: np.ndarray):
             data, at = utf8(batch.column(2))
             part = batch.column(0)[0].as_py() if part is None and len(batch) else part
             for r, doc_id in enumerate(batch.column(1).to_pylist()):
-                held.append(data[at[r] : at[r + 1]].view("<u4"))
+                held.append(data[at[r] : at[r + 1]].view(kind))
                 names.append(doc_id)
                 size += len(held[-1])
                 if size >= BLOCK:
@@ -188,14 +193,15 @@ def write_store(docs: DataFrame, path: str | None = None, size: int = 50_257) ->
     spark = docs.sparkSession
     out = f"{shared_dir(spark).rstrip('/')}/token-store-{uuid.uuid4().hex}"
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = stage(slim.mapInArrow(_tokenize(path or default_path()), "doc_id long, ids binary"), "token-ids")
+    kind = _kind(size)
+    ids = stage(slim.mapInArrow(_tokenize(path or default_path(), kind), "doc_id long, ids binary"), "token-ids")
     counts = np.zeros(size, np.int64)  # one number for each id of the vocabulary
-    for row in ids.select("ids").mapInArrow(_count(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in ids.select("ids").mapInArrow(_count(size, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row.id] = row.n
     lengths = code_lengths(counts)
     spark.createDataFrame([(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)], "id long, length int").coalesce(1).write.parquet(f"{out}/lengths")
     ranged = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "ids")
-    ranged.mapInArrow(_write(lengths), _BLOCK).write.option("compression", "none").parquet(f"{out}/blocks")
+    ranged.mapInArrow(_write(lengths, kind), _BLOCK).write.option("compression", "none").parquet(f"{out}/blocks")
     return out
 
 
