@@ -61,25 +61,27 @@ def split_chunks(text: str, target: int, overlap: int) -> list[str]:
     """Sentences packed to at most `target` tokens; a new chunk starts with the last words of the one before, up to `overlap` tokens; longer sentences are split between words."""
 
     def tail(chunk: str) -> list[str]:
-        words, used = [], 0
+        words, length = [], 0
         for w in reversed(chunk.split()):
-            used += _tokens(w + " ")
-            if used > overlap:
+            length += len(w) + 1
+            if length // 4 > overlap:
                 break
             words.append(w)
         return words[::-1]
 
-    def pack(units: list[str], size) -> list[str]:
+    def pack(units: list[str]) -> list[str]:
         made: list[str] = []
         now: list[str] = []
-        used = 0
+        length = -1
         for u in units:
-            if now and used + size(u) > target:
+            if now and (length + 1 + len(u)) // 4 > target:
                 made.append(" ".join(now))
                 now = tail(made[-1])
-                used = sum(_tokens(w + " ") for w in now)
+                length = sum(map(len, now)) + len(now) - 1
+                if (length + 1 + len(u)) // 4 > target:
+                    now, length = [], -1
             now.append(u)
-            used += size(u)
+            length += 1 + len(u)
         return [*made, " ".join(now)] if now else made
 
     out: list[str] = []
@@ -88,10 +90,9 @@ def split_chunks(text: str, target: int, overlap: int) -> list[str]:
         if _tokens(s) <= target:
             group.append(s)
         else:
-            out += pack(group, _tokens) + pack(s.split(), lambda w: _tokens(w + " "))
+            out += pack(group) + pack(s.split())
             group = []
-    out += pack(group, _tokens)
-    return [y for x in out for y in ([x] if _tokens(x) <= target else pack(x.split(), lambda w: _tokens(w + " ")))]
+    return out + pack(group)
 
 
 def chunk(df: DataFrame, id_col: str, text_col: str, target: int = 400, overlap_percent: int = 15, cap: int | None = None) -> DataFrame:
@@ -127,27 +128,27 @@ def claims(text: Column) -> dict[str, Column]:
 def greedy_dedup(df: DataFrame, id_col: str, keys: Sequence[str]) -> DataFrame:
     """id, duplicate_of: in id order, a row that shares a key with an earlier canonical row is its duplicate; only canonical rows register keys.
 
-    Rounds decide rows: one that is the least undecided row of all its keys, and shares none with a canonical row, is canonical;
-    rows that share a key with a canonical one are duplicates, of the first key's in the order of `keys`. Null keys match nothing.
-    The rows left shrink in every round.
+    Rounds decide rows: the least undecided row of all its keys is canonical, and rows that share a key with it are duplicates, of the
+    owner of their first taken key in the order of `keys`. Null keys match nothing. The rows left shrink in every round.
     """
     from terraloom.operators.state import cut
 
     slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(k).cast("string").alias("key")) for i, k in enumerate(keys)])
     rows = cut(df.select(F.col(id_col).alias("id"), F.filter(slots, lambda s: s["key"].isNotNull()).alias("keys")))
-    left, done, canonical = rows, None, None
+    spread = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("k")).select(name, F.col("k.slot").alias("slot"), F.col("k.key").alias("key"))
+    left, canonical = rows, None
     while True:
-        long = left.select("id", F.explode_outer("keys").alias("k")).select("id", F.col("k.slot").alias("slot"), F.col("k.key").alias("key"))
-        least = long.where("key IS NOT NULL").groupBy("slot", "key").agg(F.min("id").alias("least"))
-        judged = long.join(least, ["slot", "key"], "left").groupBy("id").agg(F.max(F.coalesce(F.col("id") != F.col("least"), F.lit(False))).alias("later"))
-        fresh = cut(left.join(judged.where(~F.col("later")).select("id"), "id", "left_semi"))
-        owned = fresh.select(F.col("id").alias("owner"), F.explode("keys").alias("k")).select("owner", F.col("k.slot").alias("slot"), F.col("k.key").alias("key"))
-        hits = long.join(owned, ["slot", "key"]).where("id <> owner").groupBy("id").agg(F.min(F.struct("slot", "owner")).alias("hit")).select("id", F.col("hit.owner").alias("duplicate_of"))
-        decided = cut(fresh.select("id", F.lit(None).cast(dict(rows.dtypes)["id"]).alias("duplicate_of")).unionByName(hits))
-        done = decided if done is None else done.unionByName(decided)
-        left = cut(left.join(decided.select("id"), "id", "left_anti"))
+        long = spread(left, "id")
+        least = long.groupBy("slot", "key").agg(F.min("id").alias("least"))
+        later = long.join(least, ["slot", "key"]).where("id <> least").select("id").distinct()
+        fresh = cut(left.join(later, "id", "left_anti"))
+        canonical = fresh if canonical is None else canonical.unionByName(fresh)
+        shared = long.join(spread(fresh, "owner"), ["slot", "key"]).select("id")
+        left = cut(left.join(shared.unionByName(fresh.select("id")).distinct(), "id", "left_anti"))
         if left.isEmpty():
-            return done.select(F.col("id").alias(id_col), "duplicate_of")
+            break
+    hits = spread(rows, "id").join(spread(canonical, "owner"), ["slot", "key"]).where("owner < id").groupBy("id").agg(F.min(F.struct("slot", "owner")).alias("hit"))
+    return rows.join(hits, "id", "left").select(F.col("id").alias(id_col), F.col("hit.owner").alias("duplicate_of"))
 
 
 def cluster_id(title: Column, country: Column, domain: Column, day: Column) -> Column:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.operators.state import cut
+
 
 @dataclass(frozen=True)
 class JoinSpec:
@@ -63,7 +65,7 @@ def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, x:
     s = sites.select(F.col(site_id).alias("_s"), F.col(x).alias("_sx"), F.col(y).alias("_sy"))
     every = s.select(F.col("_sx").alias("x"), F.col("_sy").alias("y")).unionByName(p.select(F.col("_x").alias("x"), F.col("_y").alias("y")))
     extent = every.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
-    done, left, width = None, p, cell
+    done, left, width = None, cut(p), cell
     while True:
         gx, gy = F.floor(F.col("_x") / width), F.floor(F.col("_y") / width)
         ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -72,11 +74,11 @@ def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, x:
         near = probe.join(cells, ["_cx", "_cy"]).withColumn("_d", F.sqrt((F.col("_x") - F.col("_sx")) ** 2 + (F.col("_y") - F.col("_sy")) ** 2))
         best = near.groupBy("_p").agg(F.min(F.struct("_d", "_s")).alias("_b")).select("_p", F.col("_b._s").alias("_s"), F.col("_b._d").alias("_d"))
         whole = width >= extent
-        sure = best if whole else best.where(F.col("_d") <= width)
+        sure = cut(best if whole else best.where(F.col("_d") <= width))
         done = sure if done is None else done.unionByName(sure)
         if whole:
             break
-        left = left.join(sure.select("_p"), "_p", "left_anti")
+        left = cut(left.join(sure.select("_p"), "_p", "left_anti"))
         if left.isEmpty():
             break
         width *= 2
