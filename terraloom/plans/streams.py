@@ -18,7 +18,7 @@ def r3_future_guard(spark, sf_dir):
 @query("""SELECT user_id, time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND - INTERVAL 60 SECOND + k * INTERVAL 10 SECOND AS start, count(*) AS n FROM events, range(6) t(k) GROUP BY ALL""")
 def r5_sliding_counts(spark, sf_dir):
     rows = jobs.counts(read(spark, sf_dir, "events"), "ts", ["user_id"], "60 seconds", "10 seconds")
-    return rows.select("user_id", F.col("window.start").alias("start"), "n")
+    return rows.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query()

@@ -44,7 +44,7 @@ def write_articles(df: DataFrame, path: str, country: str, published: str) -> No
 
 def read_front_matter(spark: SparkSession, path: str, fields: Sequence[str], root: str = "") -> DataFrame:
     """Texts with a header between two `---` lines: path, the header's fields and body. A missing country is the first folder below root."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     head = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
     header, body = F.regexp_extract("value", head, 1), F.regexp_extract("value", head, 2)
     value = lambda k: F.regexp_extract(header, rf"(?m)^{k}:[ \t]*[\"']?(.*?)[\"']?[ \t]*$", 1)

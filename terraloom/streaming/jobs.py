@@ -12,6 +12,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from terraloom.operators import star
 
 
+def _timed(events: DataFrame, time: str) -> DataFrame:
+    """Event time as an instant, which watermarks ask for."""
+    return events.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def plausible(events: DataFrame, time: str, now: Column | None = None, ahead: str = "2 days") -> DataFrame:
     """Rows whose time is not more than `ahead` after now."""
     return events.where(F.col(time) <= (now if now is not None else F.current_timestamp()) + F.expr(f"interval {ahead}"))
@@ -20,17 +25,17 @@ def plausible(events: DataFrame, time: str, now: Column | None = None, ahead: st
 def counts(events: DataFrame, time: str, keys: list[str], width: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts by key and window; rows later than `late` are dropped."""
     window = F.window(time, width, slide) if slide else F.window(time, width)
-    return events.withWatermark(time, late).groupBy(*keys, window.alias("window")).agg(F.count("*").alias("n"))
+    return _timed(events, time).withWatermark(time, late).groupBy(*keys, window.alias("window")).agg(F.count("*").alias("n"))
 
 
 def deduplicate(events: DataFrame, time: str, key: Column, late: str = "1 day") -> DataFrame:
     """The first row of each key within the watermark."""
-    return events.withColumn("dedupe_key", key).withWatermark(time, late).dropDuplicatesWithinWatermark(["dedupe_key"])
+    return _timed(events, time).withColumn("dedupe_key", key).withWatermark(time, late).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str = "7 days", late: str = "1 hour") -> DataFrame:
     """Sessions of each key, ended by a gap."""
-    return events.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("session")).agg(F.count("*").alias("n"))
+    return _timed(events, time).withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("session")).agg(F.count("*").alias("n"))
 
 
 def accept(times: list[float], recent: list[float], most: int, seconds: float) -> tuple[list[bool], list[float]]:
@@ -50,7 +55,7 @@ def limit_rate(events: DataFrame, key: str, time: str, event_id: str, most: int,
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([time, event_id])
-        passed, _ = accept((frame[time].astype("int64") / 1e6).tolist() if frame[time].dtype == "datetime64[us]" else [t.timestamp() for t in frame[time]], [], most, seconds)
+        passed, _ = accept([t.timestamp() for t in frame[time]], [], most, seconds)
         return pd.DataFrame({key: frame[key], event_id: frame[event_id], "accepted": passed})
 
     return events.select(key, event_id, time).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{event_id}` {kinds[event_id]}, accepted boolean")
