@@ -26,6 +26,32 @@ def binary_text(text: Column, head: int = 800) -> Column:
     return magic | (F.regexp_count(start, F.lit(r"[\x00-\x08\x0E-\x1F]")) >= 10) | (F.regexp_count(start, F.lit("�")) >= 40)
 
 
+def pick_published(sources: Sequence[tuple[str, Column, float]], now: str, ahead: int = 2) -> Column:
+    """struct(published_at, source, confidence) of the first source with a date that is at most `ahead` days after now."""
+    out = None
+    for name, value, sure in sources:
+        date = tx.iso_date(value)
+        good = date.isNotNull() & (F.to_date(date) <= F.date_add(F.lit(now).cast("date"), ahead))
+        row = F.struct(date.alias("published_at"), F.lit(name).alias("source"), F.lit(sure).alias("confidence"))
+        out = F.when(good, row) if out is None else out.when(good, row)
+    return out.otherwise(F.struct(F.lit(None).cast("string").alias("published_at"), F.lit("missing").alias("source"), F.lit(0.0).alias("confidence")))
+
+
+def good_body(text: Column, gates: Sequence[str], least: int = 200) -> Column:
+    """Whether a body is long enough and no consent gate."""
+    t = F.coalesce(text, F.lit(""))
+    out = F.length(t) >= least
+    for g in gates:
+        out &= ~F.contains(F.lower(t), F.lit(g.lower()))
+    return out
+
+
+def changed(old: DataFrame, new: DataFrame, id_col: str, value: str) -> DataFrame:
+    """id, old and new value where a recomputed value differs, nulls compared as values."""
+    a, b = old.select(id_col, F.col(value).alias(f"old_{value}")), new.select(id_col, F.col(value).alias(f"new_{value}"))
+    return a.join(b, id_col).where(~F.col(f"old_{value}").eqNullSafe(F.col(f"new_{value}")))
+
+
 def paragraphs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, block, text: the paragraphs of each text, numbered from 0."""
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\n\s*\n|\n"), tx.squeeze), lambda p: p != "")
