@@ -401,7 +401,7 @@ def q6_test_runner(spark, sf_dir):
     )
 
 
-@query("""SELECT sum(n) AS rows_before, sum(n * greatest(coalesce(m, 1), 1))::BIGINT AS rows_after, sum(CASE WHEN m IS NULL THEN n ELSE 0 END)::BIGINT AS unmatched
+@query("""SELECT sum(n)::BIGINT AS rows_before, sum(n * greatest(coalesce(m, 1), 1))::BIGINT AS rows_after, sum(CASE WHEN m IS NULL THEN n ELSE 0 END)::BIGINT AS unmatched
 FROM (SELECT c_nationkey AS k, count(*)::BIGINT AS n FROM customer GROUP BY 1) LEFT JOIN (SELECT s_nationkey AS k, count(*)::BIGINT AS m FROM supplier GROUP BY 1) USING (k)""")
 def q7_fanout_report(spark, sf_dir):
     customer, supplier = read(spark, sf_dir, "customer", "supplier")
