@@ -43,6 +43,8 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER] | U(1)
 _SLICE = 1 << 20
+#: Shingles of a set beyond its prefix that a pair is compared on before the full sets are.
+HEAD = 24
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -200,8 +202,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _tests(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components and matching size from rows (node, comp, n, hubs)."""
-    fits = lambda h: (h["node"] != F.col("node")) & (h["comp"] != F.col("comp")) & (100 * F.least("n", h["n"]) >= percent * F.greatest("n", h["n"]))
+    """Distinct pairs (a, b) of different components from rows (node, comp, n, hubs) whose sizes, and rarest shingles where rows have them, allow a link."""
+
+    def fits(h):
+        sizes = 100 * F.least("n", h["n"]) >= percent * F.greatest("n", h["n"])
+        pair = (h["node"] != F.col("node")) & (h["comp"] != F.col("comp")) & sizes
+        if "head" not in rows.columns:
+            return pair
+        # Up to the lesser of the two last ranks, both heads are complete: what they don't share there, the sets don't.
+        beyond = F.when(F.col("edge") <= h["edge"], F.col("n") - F.size("head")).otherwise(h["n"] - F.size(h["head"]))
+        most = F.size(F.array_intersect("head", h["head"])) + beyond
+        return pair & F.coalesce((100 + percent) * most >= percent * (F.col("n") + h["n"]), F.lit(True))
+
     tests = rows.select("node", F.explode(F.filter("hubs", fits)).alias("h"))
     return stage(tests.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "pairs")
 
@@ -215,11 +227,11 @@ def _connect(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Buckets (bucket, node, n) by shared rare shingles, for rows (node, comp, n, least) of classes in large buckets.
+    """Buckets (bucket, node, n, head, edge) by shared rare shingles, for rows (node, comp, n, least) of classes in large buckets.
 
     least: the smallest set in a bucket with the node. A partner shares at least `need` shingles, so it has one of any
     n - need + 1 of the node's; the rarest are taken, in one order for all nodes. Shingles of one component alone
-    use up that number, but make no bucket.
+    use up that number, but make no bucket. head holds these and the `HEAD` next shingles, edge the last one's rank.
     """
     n, other = F.col("n"), F.least(F.col("n"), F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100)))
     need = F.ceil(percent * (n + other) / (100 + percent) - 1e-9)
@@ -227,8 +239,10 @@ def _prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     items = stage(nodes.join(sets, "node").select("node", "comp", "n", "most", F.explode("items").alias("bucket")), "items")
     df = items.groupBy("bucket").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("open"))
     order = W.partitionBy("node").orderBy("df", "bucket")
-    ranked = items.join(df, "bucket").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("open") & (F.col("rank") <= F.col("most"))).select("bucket", "node", "n")
+    ranked = items.join(df, "bucket").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("most") + HEAD)
+    whole = W.partitionBy("node")
+    ranked = ranked.withColumns({"head": F.collect_list("bucket").over(whole), "edge": F.max(F.struct("df", "bucket")).over(whole)})
+    return ranked.where(F.col("open") & (F.col("rank") <= F.col("most"))).select("bucket", "node", "n", "head", "edge")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85, rows: int = 6, miss: float = 1e-6, hubs: int = 4, large: int = 16) -> DataFrame:
@@ -263,13 +277,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     now = left.join(labels, "node")
     ends = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi")
     open_rows = stage(now.join(ends.select("bucket", "least"), "bucket"), "open")
-    rest = open_rows.where(F.col("c") <= large).select("bucket", "node", "n").unionByName(_prefixes(open_rows.where(F.col("c") > large), sets, percent))
+    rest = _prefixes(open_rows.where(F.col("c") > large), sets, percent)
+    rest = rest.unionByName(open_rows.where(F.col("c") <= large).select("bucket", "node", "n"), allowMissingColumns=True)
     spots = hubs
     while True:
         sizes = labels.groupBy("comp").agg(F.count("*").alias("weight"))
         rest = rest.join(labels.join(sizes, "comp"), "node")
         salt = F.pmod(F.xxhash64("node"), F.lit(spots))
-        tops = rest.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("weight", "node", "comp", "n")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        tops = rest.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("weight", "node", "comp", "n", "head", "edge")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         chosen = tops.groupBy("bucket").agg(F.collect_list("hub").alias("hubs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("bucket", "hubs")
         rest = stage(rest.drop("weight").join(chosen, "bucket"), "open")
         if rest.limit(1).count() == 0:
@@ -277,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = cut(_verify(_tests(rest, percent), sets, percent))
         if links.limit(1).count():
             labels = _connect(labels, links)
-        rest = rest.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "n")
+        rest = rest.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "n", "head", "edge")
         spots = min(4 * spots, 256)
 
     # Least doc_id of each component; sets that share no bucket are components of their own.
