@@ -132,3 +132,22 @@ def keyword_scores(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column
 
 def _quote(word: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in word.lower())
+
+
+def page_date(html: Column) -> Column:
+    """The first date of a page's meta tags and time elements, as published, then as updated; YYYY-MM-DD or null."""
+    names = ["article:published_time", "datePublished", "date", "pubdate", "", "article:modified_time", "dateModified"]
+    found = []
+    for n in names:  # the empty name stands for time elements
+        patterns = [rf"(?i)<meta[^>]+(?:property|name|itemprop)=[\"']{n}[\"'][^>]*content=[\"']([^\"']+)", rf"(?i)<meta[^>]+content=[\"']([^\"']+)[\"'][^>]*(?:property|name|itemprop)=[\"']{n}[\"']"]
+        found += [F.regexp_extract(html, p, 1) for p in (patterns if n else [r"(?i)<time[^>]+datetime=[\"']([^\"']+)"])]
+    # One lambda for all candidates keeps the generated code small.
+    return F.get(F.filter(F.transform(F.array(*found), lambda t: iso_date(t)), lambda d: d.isNotNull()), F.lit(0))
+
+
+def citation(author: Column, year: Column, title: Column, journal: Column, doi: Column, cap: int = 240) -> Column:
+    """Author (year). Title. Journal. DOI, as far as they are known, at most cap characters and ending with a word."""
+    has = lambda c: F.when(c.isNotNull() & (F.trim(c.cast("string")) != ""), F.trim(c.cast("string")))
+    who = F.when(has(author).isNotNull() & has(year).isNotNull(), F.concat(has(author), F.lit(" ("), has(year), F.lit(")"))).otherwise(F.coalesce(has(author), has(year)))
+    link = F.when(has(doi).isNotNull(), F.concat(F.lit("https://doi.org/"), has(doi)))
+    return truncate_words(F.concat_ws(". ", who, has(title), has(journal), link), cap)

@@ -194,3 +194,15 @@ def recent_history(df: DataFrame, conv: str, turn: str, pairs: int, cap: int) ->
     keep = F.when(F.coalesce("_fit", F.lit(0)) >= F.col("_n"), F.col("_n")).when((F.col("_n") - F.col("_fit")) % 2 == 0, F.col("_fit")).otherwise(F.greatest(F.col("_fit") - 1, F.lit(0)))
     keep = F.when((keep == 0) & (F.col("_fit") >= 1) & (F.col("_n") % 2 == 1), 1).otherwise(keep)
     return rows.where(F.col("_back") <= F.coalesce(keep, F.lit(0))).drop("_back", "_run", "_n", "_fit")
+
+
+def semantic_breaks(df: DataFrame, doc: str, order: str, vector: str, percent: float = 95.0) -> DataFrame:
+    """doc, order, similarity to the row before, and the number of the group a row is in: a new one starts where the similarity is at most the percentile of the document's."""
+    w = W.partitionBy(doc).orderBy(order)
+    dot = F.aggregate(F.zip_with(vector, "_before", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
+    rows = df.select(doc, order, vector, F.lag(vector).over(w).alias("_before"))
+    rows = rows.select(doc, order, F.round(F.try_divide(dot, norm(vector) * norm("_before")), 6).alias("similarity"))
+    cutoff = F.percentile("similarity", percent / 100).over(W.partitionBy(doc))
+    rows = rows.withColumn("_cut", F.when(F.col("similarity") <= cutoff, 1).otherwise(0))
+    return rows.select(doc, order, "similarity", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("group"))

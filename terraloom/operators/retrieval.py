@@ -131,3 +131,12 @@ def evaluate(results: DataFrame, query_id: str, hit: str, k: int) -> DataFrame:
     """queries, recall_at_k (share of queries with a hit in the first k) and mrr over ranked results."""
     per = results.groupBy(query_id).agg(F.max(F.when(F.col(hit) & (F.col("rank") <= k), 1).otherwise(0)).alias("found"), F.min(F.when(F.col(hit), F.col("rank"))).alias("first"))
     return per.agg(F.count("*").alias("queries"), F.round(F.avg("found"), 6).alias("recall_at_k"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def route_corpora(queries: DataFrame, query_id: str, intent: str, rules: DataFrame, default: str) -> DataFrame:
+    """query_id, corpus, boost: the corpora that a rule table (intent, corpus, boost, skip) gives a query's intent; never none, as the default stands in."""
+    q = queries.select(query_id, F.col(intent).alias("_intent"))
+    named = rules.select(F.col("intent").alias("_i"), "corpus", "boost", "skip")
+    kept = q.join(named, F.col("_intent") == F.col("_i"), "left").where(F.coalesce(~F.col("skip"), F.lit(False))).select(query_id, "corpus", "boost")
+    left = q.join(kept.select(query_id).distinct(), query_id, "left_anti")
+    return kept.unionByName(left.select(query_id, F.lit(default).alias("corpus"), F.lit(0.0).alias("boost")))

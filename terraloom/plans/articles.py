@@ -131,3 +131,31 @@ def x8_passage_header(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     head = F.concat(F.lit("[geo="), "country", F.lit("; year="), F.col("year").cast("string"), F.lit("; domains="), "source", F.lit("] "))
     return _meta(spark, sf_dir).join(docs, "doc_id").select("doc_id", F.concat(head, F.substring("text", 1, 50)).alias("passage"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '2024-0' || (1 + page_id % 9) || '-05' WHEN page_id % 3 = 1 THEN '2023-01-02' END AS published FROM pages")
+def c2_page_date(spark, sf_dir):
+    month = F.concat(F.lit("2024-0"), (1 + F.pmod("page_id", F.lit(9))).cast("string"), F.lit("-05T10:00:00Z"))
+    tag = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<meta property="article:published_time" content="'), month, F.lit('">'))).when(F.col("page_id") % 3 == 1, F.lit("<time datetime='2023-01-02'>x</time>")).otherwise("")
+    return read(spark, sf_dir, "pages").select("page_id", tx.page_date(F.concat(tag, "html")).alias("published"))
+
+
+@query("""WITH l AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+s AS (SELECT label, vec_id, round(list_cosine_similarity(e, b), 6) AS similarity FROM l), c AS (SELECT *, quantile_cont(similarity, 0.95) OVER (PARTITION BY label) AS cutoff FROM s)
+SELECT label, vec_id, similarity, sum(CASE WHEN similarity <= cutoff THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::BIGINT AS "group" FROM c""")
+def c15_semantic_breaks(spark, sf_dir):
+    return corpus.semantic_breaks(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+
+
+@query(f"SELECT doc_id, source || ' (' || year || '). Report ' || doc_id || '. https://doi.org/10.1/' || doc_id AS line FROM ({_META})")
+def f22_citation(spark, sf_dir):
+    doc = F.col("doc_id").cast("string")
+    return _meta(spark, sf_dir).select("doc_id", tx.citation(F.col("source"), F.col("year"), F.concat(F.lit("Report "), doc), F.lit(" "), F.concat(F.lit("10.1/"), doc)).alias("line"))
+
+
+@query("""WITH r(intent, corpus, boost, skip) AS (VALUES ('en', 'news', 0.1, false), ('en', 'policy', 0.2, false), ('fr', 'news', 0.3, true), ('de', 'research', 0.0, false)),
+k AS (SELECT doc_id, corpus, boost::DOUBLE AS boost FROM documents JOIN r ON lang = intent WHERE NOT skip)
+SELECT * FROM k UNION ALL SELECT doc_id, 'all', 0.0::DOUBLE FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k)""")
+def v9_corpus_routing(spark, sf_dir):
+    rules = spark.createDataFrame([("en", "news", 0.1, False), ("en", "policy", 0.2, False), ("fr", "news", 0.3, True), ("de", "research", 0.0, False)], "intent string, corpus string, boost double, skip boolean")
+    return retrieval.route_corpora(read(spark, sf_dir, "documents"), "doc_id", "lang", F.broadcast(rules), "all")
