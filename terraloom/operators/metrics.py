@@ -16,7 +16,8 @@ AVERAGED = r"per capita|rate|index|share|yield|price"
 
 @dataclass
 class MetricTable:
-    """What a metric table's columns mean. discriminators: columns whose values must never be added up, with a default value each."""
+    """What a metric table's columns mean. discriminators: columns whose values must never be added up, with a default value each.
+    date: the stored date that the year comes from, if there is one; years asked for then reach the scan as a range of it."""
 
     name: str
     geo: str
@@ -25,12 +26,21 @@ class MetricTable:
     product: str | None = None
     discriminators: Mapping[str, str] = field(default_factory=dict)
     agg: str | None = None
+    date: str | None = None
 
     def aggregate(self, measure: str = "") -> str:
         """sum or avg: as declared, else by the measure's words."""
         return self.agg or ("avg" if re.search(AVERAGED, f"{measure} {self.value}", re.I) else "sum")
 
 
+def in_years(df: DataFrame, t: MetricTable, first: int, last: int) -> DataFrame:
+    """Rows of the years from first to last."""
+    if t.date:
+        bound = lambda y: F.lit(f"{y}-01-01").cast(dict(df.dtypes)[t.date])
+        df = df.where((F.col(t.date) >= bound(first)) & (F.col(t.date) < bound(last + 1)))
+    return df.where(F.col(t.year).between(first, last))
+
+
 def clamp(limit: int, most: int = 100) -> int:
     return max(1, min(limit, most))
 
@@ -41,8 +51,7 @@ def select_rows(df: DataFrame, t: MetricTable, year: int | tuple[int, int] | Non
     if missing := [k for k, v in chosen.items() if not v]:
         raise ValueError(f"values of {missing} would be mixed")
     if year is not None:
-        low, high = year if isinstance(year, tuple) else (year, year)
-        df = df.where(F.col(t.year).between(low, high))
+        df = in_years(df, t, *(year if isinstance(year, tuple) else (year, year)))
     if countries:
         df = df.where(F.col(t.geo).isin(list(countries)[:32]))
     if products and t.product:
@@ -113,7 +122,7 @@ def direction(prior: Column, value: Column, band: float = 0.02) -> Column:
 def bracketing_trend(df: DataFrame, t: MetricTable, year: int, element: str, grain: Sequence[str] = ()) -> DataFrame:
     """grain, element, prior (year - 1), value (year + 1), direction, pct in one aggregation."""
     at = lambda y: F.round(F.sum(F.when(F.col(t.year) == y, F.col(t.value).cast("double"))), 4)
-    rows = df.where(F.col(t.year).isin(year - 1, year + 1)).groupBy(*grain, element).agg(at(year - 1).alias("prior"), at(year + 1).alias("value"))
+    rows = in_years(df, t, year - 1, year + 1).where(F.col(t.year) != year).groupBy(*grain, element).agg(at(year - 1).alias("prior"), at(year + 1).alias("value"))
     pct = F.when((F.col("prior") != 0) & F.col("value").isNotNull(), F.round(100 * (F.col("value") - F.col("prior")) / F.abs("prior"), 4))
     return rows.select(*grain, element, "prior", "value", direction(F.col("prior"), F.col("value")).alias("direction"), pct.alias("pct"))
 
