@@ -206,3 +206,12 @@ def semantic_breaks(df: DataFrame, doc: str, order: str, vector: str, percent: f
     cutoff = F.percentile("similarity", percent / 100).over(W.partitionBy(doc))
     rows = rows.withColumn("_cut", F.when(F.col("similarity") <= cutoff, 1).otherwise(0))
     return rows.select(doc, order, "similarity", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("group"))
+
+
+def places(text: Column, names: Sequence[str], cap: int = 12) -> Column:
+    """Names that a text mentions before its references, most mentions first (ties by longer name, then by the given order), at most `cap`;
+    with more than three candidates, only those mentioned twice or more. Meant for a short list, such as countries."""
+    head = F.split(F.coalesce(text, F.lit("")), r"(?im)^\s*references\s*$", 2)[0]
+    counted = tx.keyword_scores(head, {n: [n] for n in sorted(names, key=lambda n: (-len(n), list(names).index(n)))})
+    kept = F.when(F.size(counted) > 3, F.filter(counted, lambda c: c["score"] >= 2)).otherwise(counted)
+    return F.slice(F.transform(kept, lambda c: c["name"]), 1, cap)

@@ -159,3 +159,23 @@ SELECT * FROM k UNION ALL SELECT doc_id, 'all', 0.0::DOUBLE FROM documents WHERE
 def v9_corpus_routing(spark, sf_dir):
     rules = spark.createDataFrame([("en", "news", 0.1, False), ("en", "policy", 0.2, False), ("fr", "news", 0.3, True), ("de", "research", 0.0, False)], "intent string, corpus string, boost double, skip boolean")
     return retrieval.route_corpora(read(spark, sf_dir, "documents"), "doc_id", "lang", F.broadcast(rules), "all")
+
+
+@query(r"""WITH c AS (SELECT doc_id, unnest(['that', 'the', 'and', 'ing', 'of']) AS name, unnest(range(5)) AS i, unnest([len(regexp_extract_all(lower(text), '\bthat\b')), len(regexp_extract_all(lower(text), '\bthe\b')), len(regexp_extract_all(lower(text), '\band\b')),
+len(regexp_extract_all(lower(text), '\bing\b')), len(regexp_extract_all(lower(text), '\bof\b'))]) AS n FROM documents WHERE lang = 'en'),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS found FROM c WHERE n > 0)
+SELECT doc_id, coalesce((SELECT string_agg(name, ',' ORDER BY n DESC, i) FROM k WHERE k.doc_id = d.doc_id AND (found <= 3 OR n >= 2)), '') AS places FROM documents d WHERE lang = 'en'""")
+def c10_place_mentions(spark, sf_dir):
+    found = corpus.places(F.col("text"), ["of", "the", "and", "ing", "that"])
+    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(found, ",").alias("places"))
+
+
+@query(r"""SELECT page_id, regexp_matches(regexp_extract(html, '<title>([^<]*)', 1), '(?i)(^|[^\p{L}\p{N}])the([^\p{L}\p{N}]|$)') AS in_title FROM pages""")
+def v12_title_filter(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", tx.whole_word(F.regexp_extract("html", r"<title>([^<]*)", 1), "the").alias("in_title"))
+
+
+@query(f"SELECT doc_id, (CASE source WHEN 'src1' THEN 0.3 WHEN 'src2' THEN 0.1 ELSE 0.0 END + CASE WHEN year = 2019 THEN 0.05 ELSE 0.0 END)::DOUBLE AS boost FROM ({_META})")
+def x2_source_boost(spark, sf_dir):
+    boost = retrieval.source_boost(F.col("source"), {"src1": 0.3, "src2": 0.1}, F.col("year") == 2019)
+    return _meta(spark, sf_dir).select("doc_id", boost.alias("boost"))
