@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import GAP, cut, stage, table
+from terraloom.llm.common import GAP, cut, small, stage, table
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -144,11 +144,11 @@ def calibrate(metrics: DataFrame, labels: DataFrame, stratum_col: str = "lang",
 
 
 def with_verdict(df: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang", prefix: str = "", rules: dict[str, list[float]] | None = None) -> DataFrame:
-    """Add `{prefix}kept`. The cutoffs are a row per stratum; Catalyst broadcasts them if they are small."""
+    """Add `{prefix}kept`. The cutoffs are a row per stratum; up to 10,000 of them are broadcast, so texts are not dealt by stratum."""
     rules = rules or RULES
     scores = _scores(prefix)
     named = cutoffs.select(F.col("stratum").alias("_stratum"), *[F.col(f"cut_{r}").alias(f"_cut_{r}") for r in rules])
-    joined = df.join(named, F.col(stratum_col).eqNullSafe(F.col("_stratum")), "left")
+    joined = df.join(small(named, 10_000), F.col(stratum_col).eqNullSafe(F.col("_stratum")), "left")
     above = F.lit(False)
     for r in rules:
         above = above | F.coalesce(scores[r] > F.col(f"_cut_{r}"), F.lit(False))
