@@ -5,12 +5,15 @@ Its presentation importance is the entropy of its styles (the sequences of child
 content importance 1 - the mean entropy of its contents over the pages they stand on: what every page
 repeats is worth 0, what one page has is worth 1. Both are combined as (1 - g^s) presentation + g^s content, s the
 number of styles. Elements of fixed meaning have fixed importance: navigation, page headers and footers, asides,
-forms, scripts and elements named as adverts, notices, menus or reader comments are worth 0; articles and main elements 1,
-and where a page has one, the rest of the page is worth 0. A page keeps the blocks of the branches that are not of
-low importance.
+forms, scripts and elements named as adverts, notices, menus or reader comments are worth 0. What an article or main
+element holds starts from a prior of 1 that counts as `PRIOR` pages, so it takes evidence to drop it, but it can be dropped.
+A single block is judged in the same way, as a content that k of the m pages with its element show: 1 - log_m k. A page
+keeps, inside and outside of main elements, the blocks of elements that are not of low importance, without those blocks that
+are of low importance themselves and stand on more than half of the pages. An element is judged by the blocks directly in
+it; those of its children by theirs.
 
-Counts of elements, styles and contents are aggregated with map-side partials; a page contributes a row for each distinct
-element, style and content. The low branches come back as one row per host.
+Counts of elements, styles, contents and blocks are aggregated with map-side partials; a page contributes a row for each
+distinct one. The low elements and blocks come back as one row per host.
 
 Defined cases: null and empty html have the text ""; a null or unreadable url has no host, and such pages are not merged;
 hosts with fewer than `MIN_PAGES` pages showing an element have no evidence against it; repeated rows count as pages
@@ -19,10 +22,11 @@ of their own; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +37,7 @@ from terraloom.llm.common import cut, small, table
 MIN_PAGES = 5
 LOW = 0.2
 DECAY = 0.9
+PRIOR = 1.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
@@ -123,52 +128,68 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, bool]]:
     yield from flush()
 
 
-def extract(page: str | None, low: set[str]) -> str:
-    """The main text: of the main elements if there are any with text, else of all branches that are not low."""
-    kept = [b for b in blocks(page or "") if b[2] != "0"]
-    main = [text for _, text, fixed, inside in kept if inside]
-    if main:
-        return " ".join(main)
-    return " ".join(text for path, text, _, _ in kept if not any(path == x or path.startswith(x + "/") for x in low))
+def block_hash(path: str, text: str) -> int:
+    """64 bits for a block of an element."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def tree_rows(page: str | None) -> list[tuple[str, int, int]]:
-    """(path, style, content) of the open elements of one page without main text; each distinct row once.
+def extract(page: str | None, low: set[str], repeated: Set[int] = frozenset()) -> str:
+    """The main text: all blocks that stand in no low element and are not repeated ones."""
+    kept = [(path, text) for path, text, fixed, _ in blocks(page or "") if fixed != "0" and path not in low]
+    return " ".join(text for path, text in kept if not repeated or block_hash(path, text) not in repeated)
 
-    The content of an element is the digest of its own blocks; its style the digest of the tags its blocks and children show.
+
+def tree_rows(page: str | None) -> list[tuple[str, bool, bool, int, int]]:
+    """(path, main, whole, a, b) of the open elements of one page; each distinct row once.
+
+    Whole rows describe an element: a is its style, the digest of the tags its blocks and children show, and b its content, the
+    digest of its own blocks. The others have a block of the element as a. Main tells whether a main element holds it.
     """
     found = [b for b in blocks(page or "") if b[2] != "0"]
-    if any(inside for *_, inside in found):
-        found = [b for b in found if b[3]]
     texts: dict[str, list[str]] = {}
     styles: dict[str, list[str]] = {}
-    for path, text, _, _ in found:
+    inside: dict[str, bool] = {}
+    for path, text, _, main in found:
         texts.setdefault(path, []).append(text)
+        inside[path] = inside.get(path, False) or main
         while path:
             above, _, tag = path.rpartition("/")
             if not styles.setdefault(above, []) or styles[above][-1] != tag:
                 styles[above].append(tag)
             path = above
-    return [(p, zlib.crc32(" ".join(styles.get(p, [])).encode()), zlib.crc32(" ".join(t).encode())) for p, t in texts.items()]
+    rows = [(p, inside[p], True, zlib.crc32(" ".join(styles.get(p, [])).encode()), zlib.crc32(" ".join(t).encode())) for p, t in texts.items()]
+    return rows + [(p, inside[p], False, h, 0) for p, t in texts.items() for h in {block_hash(p, x) for x in t}]
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, n_pages, importance of every element that blocks stand in, over all pages."""
+def _cells(pages: DataFrame) -> DataFrame:
+    """host, path, whole, a, b, main, n: the rows of all pages with the number of pages that have them; blocks on fewer than three are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name := host(url):
                     rows += [(name, *r) for r in tree_rows(page)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "path", "style", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "path", "main", "whole", "a", "b"])
+
+    rows = pages.select("url", "html").mapInArrow(run, "host string, path string, main boolean, whole boolean, a long, b long")
+    # One aggregation of all rows first; entropies and repeated blocks follow from its counts.
+    counts = rows.groupBy("host", "path", "whole", "a", "b").agg(F.count("*").alias("n"), F.max("main").alias("main"))
+    return cut(counts.where(F.col("whole") | (F.col("n") > 2)))
+
+
+def _with_prior(importance: F.Column) -> F.Column:
+    """The importance, raised where a main element holds it as if `PRIOR` more pages had shown full importance."""
+    weight = F.when(F.col("main"), F.lit(PRIOR)).otherwise(0.0)
+    return (F.col("n_pages") * importance + weight) / (F.col("n_pages") + weight)
+
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, path string, style long, content long")
-    # One aggregation by style and content first; both entropies follow from its counts.
-    cells = cut(rows.groupBy("host", "path", "style", "content").agg(F.count("*").alias("n")))
-    total = cells.groupBy("host", "path").agg(F.sum("n").alias("n_pages"))
+def style_tree(cells: DataFrame) -> DataFrame:
+    """host, path, n_pages, main, importance of every element that blocks stand in, over all pages."""
+    cells = cells.where("whole").withColumnsRenamed({"a": "style", "b": "content"})
+    total = cells.groupBy("host", "path").agg(F.sum("n").alias("n_pages"), F.max("main").alias("main"))
 
     def entropy(by: str) -> DataFrame:
         """Sum of k ln k over the groups of pages that share a style or content, and the number of groups."""
@@ -182,23 +203,28 @@ def style_tree(pages: DataFrame) -> DataFrame:
     presentation = F.when(m > 1, (F.log(m) - F.col("style_klnk") / m) / log_m).otherwise(1.0)
     content = F.when(m > 1, 1 - F.col("content_klnk") / m / log_m).otherwise(1.0)
     weight = F.pow(F.lit(DECAY), F.col("style_groups").cast("double"))
-    return joined.select("host", "path", "n_pages", ((1 - weight) * presentation + weight * content).alias("importance"))
+    return joined.select("host", "path", "n_pages", "main", _with_prior((1 - weight) * presentation + weight * content).alias("importance"))
 
 
 def main_texts(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
-    noise = style_tree(pages).where((F.col("importance") < low) & (F.col("n_pages") >= min_pages))
-    noise = cut(noise.groupBy("host").agg(F.collect_set("path").alias("low")))
+    cells = _cells(pages)
+    tree = cut(style_tree(cells).where(F.col("n_pages") >= min_pages))
+    elements = tree.where(F.col("importance") < low).select("host", "path", F.lit(None).cast("long").alias("block"))
+    shown = cells.where(~F.col("whole")).drop("main").join(tree.select("host", "path", "main", "n_pages"), ["host", "path"]).where(2 * F.col("n") > F.col("n_pages"))
+    alone = _with_prior(1 - F.log("n") / F.log("n_pages"))
+    noise = elements.unionByName(shown.where(alone < low).select("host", F.lit(None).cast("string").alias("path"), F.col("a").alias("block")))
+    noise = cut(noise.groupBy("host").agg(F.collect_set("path").alias("low"), F.collect_set("block").alias("repeated")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, urls, htmls, lows = (c.to_pylist() for c in batch.columns)
-            texts = [extract(page, set(paths or ())) for page, paths in zip(htmls, lows, strict=True)]
+            ids, urls, htmls, lows, repeats = (c.to_pylist() for c in batch.columns)
+            texts = [extract(page, set(paths or ()), set(hashes or ())) for page, paths, hashes in zip(htmls, lows, repeats, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     name = F.lower(F.regexp_extract(F.col("url"), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#\s]*@)?([^/?#\s:@]+)", 1))
-    joined = slim.join(small(noise, 20_000), name == F.col("host"), "left").select("page_id", "url", "html", "low")
+    joined = slim.join(small(noise, 20_000), name == F.col("host"), "left").select("page_id", "url", "html", "low", "repeated")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

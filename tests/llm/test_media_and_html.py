@@ -95,3 +95,14 @@ def test_style_tree_drops_what_pages_repeat(spark):
 
 def test_host():
     assert [html_main.host(u) for u in ("HTTP://u:p@A.b:80/x", "//c.d?q", "nope", None)] == ["a.b", "c.d", None, None]
+
+
+def test_main_elements_are_a_prior_only(spark):
+    card = "<article class=card>See our other pages</article>"
+    pages = [(i, f"https://cards.example/{i}", f"<body><div class=text><p>Long text of page {i}, {'word ' * i}</p></div>{card}</body>") for i in range(12)]
+    body = lambda i: f"<article>By us<h1>Title {i}</h1><p>Body of page {i}</p><p>Subscribe to our letter</p><div class=rights>Licensed text</div></article>"
+    pages += [(100 + i, f"https://letters.example/{i}", f"<body><div class=top>Site claims</div>{body(i)}</body>") for i in range(12)]
+    out = {r.page_id: r.text for r in html_main.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert out[i] == " ".join(f"Long text of page {i}, {'word ' * i}".split())
+        assert out[100 + i] == f"Title {i} Body of page {i}"
