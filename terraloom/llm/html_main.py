@@ -5,19 +5,20 @@ Its presentation importance is the entropy of its styles (the sequences of child
 content importance 1 - the mean entropy of its contents over the pages they stand on: what every page
 repeats is worth 0, what one page has is worth 1. Both are combined as (1 - g^s) presentation + g^s content, s the
 number of styles. Elements of fixed meaning have fixed importance: navigation, page headers and footers, asides,
-forms, scripts and elements named as adverts, notices, menus or reader comments are worth 0. What an article or main
+forms, scripts and elements named as adverts, notices, menus or reader comments are worth 0 (a name counts as a whole and
+never for html, body or what holds more than half of a page's text). What an article or main
 element holds starts from a prior of 1 that counts as `PRIOR` pages, so it takes evidence to drop it, but it can be dropped.
 A single block is judged in the same way, as a content that k of the m pages with its element show: 1 - log_m k. A page
 keeps, inside and outside of main elements, the blocks of elements that are not of low importance, without those blocks that
 are of low importance themselves and stand on more than half of the pages. An element is judged by the blocks directly in
 it; those of its children by theirs.
 
-Counts of elements, styles, contents and blocks are aggregated with map-side partials; a page contributes a row for each
-distinct one. The low elements and blocks come back as one row per host.
+Counts are over distinct pages, so that copies are no evidence against what they repeat: the rows of a page (one for each
+element with its style and content, and for each block) meet those of its copies first, then they are counted with map-side partials. The low elements and blocks come back as one row per host.
 
 Defined cases: null and empty html have the text ""; a null or unreadable url has no host, and such pages are not merged;
-hosts with fewer than `MIN_PAGES` pages showing an element have no evidence against it; repeated rows count as pages
-of their own; an empty table gives an empty result; extra columns are not read.
+hosts with fewer than `MIN_PAGES` distinct pages showing an element have no evidence against it; pages of a host with the
+same open blocks count as one page; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -47,9 +48,12 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
 _ASIDE = {"nav", "footer", "header", "aside", "form", "menu", "dialog", "button", "head", "fieldset", "datalist"}
 _MAIN = {"article", "main"}
 _OPEN_ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+# One class or id name as a whole, with what usual names put around it; states such as no-sidebar or has-sidebar are none.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsbygoogle|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|header|masthead|cookies?|consent|gdpr|notices?"
-    r"|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|search|widget|toolbar|skip-link)(?:$|[\s_-])",
+    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|mobile|post|posts|article|entry|blog|user)[_-])?"
+    r"(?:ads?|adverts?|advertisement|adsbygoogle|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|header|masthead|cookies?|consent|gdpr|notices?"
+    r"|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|search|widget|toolbar|skip-link)"
+    r"(?:[_-](?:ads?|area|banner|bar|block|body|box|button|buttons|container|content|form|inner|item|items|links?|list|menu|nav|notice|posts|section|thread|unit|widget|wrap|wrapper|[0-9]+))*",
     re.I,
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
@@ -65,18 +69,21 @@ def host(url: str | None) -> str | None:
 def blocks(page: str) -> Iterator[tuple[str, str, str, bool]]:
     """The blocks of a page in order: (element path, text, fixed importance '0', '1' or '', whether a main element holds it).
 
-    Inline elements add nothing to the path; raw-text elements hold no blocks.
+    Inline elements add nothing to the path; raw-text elements hold no blocks. A class or id name says nothing about html and
+    body, nor about an element that holds more than half of the page's text.
     """
-    stack: list[tuple[str, str, str, bool]] = [("", "", "", False)]
+    # Elements in order: parent, tag, path, role, whether hidden (or of a role worth 0), whether named.
+    nodes: list[tuple[int, str, str, str, bool, bool]] = [(-1, "", "", "", False, False)]
+    found: list[tuple[int, str]] = []
+    stack: list[tuple[str, int]] = [("", 0)]
     parts: list[str] = []
     at, end = 0, len(page)
 
-    def flush() -> Iterator[tuple[str, str, str, bool]]:
+    def flush() -> None:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            _, path, fixed, main = stack[-1]
-            yield path, text, fixed, main
+            found.append((stack[-1][1], text))
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -94,7 +101,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, bool]]:
         if m[1]:
             if tag in _INLINE:
                 continue
-            yield from flush()
+            flush()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -108,7 +115,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, bool]]:
             continue
         if tag in _INLINE:
             continue
-        yield from flush()
+        flush()
         if tag in _VOID:
             continue
         while len(stack) > 1 and stack[-1][0] in _OPEN_ENDS.get(tag, ()):
@@ -117,15 +124,30 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, bool]]:
             stack.pop()
         names = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         label = " ".join(sorted(f"{names.get('id', '')} {names.get('class', '')}".split()))
-        _, path, fixed, main = stack[-1]
         role = names.get("role", "").lower()
-        named = bool(label and _NAMED.search(label)) or role in _ROLES or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
-        if (tag in _MAIN or role in ("main", "article")) and not named and (fixed != "0" or stack[-1][0] in ("form", "nav", "header")):
+        hidden = role in _ROLES or (tag not in ("html", "body") and ("hidden" in names or names.get("aria-hidden", "").lower() == "true"))
+        named = bool(label) and tag not in ("html", "body") and any(_NAMED.fullmatch(x) for x in label.split())
+        above = stack[-1][1]
+        stack.append((tag, len(nodes)))
+        nodes.append((above, tag, f"{nodes[above][2]}/{tag}{'.' + '.'.join(label.split()) if label else ''}", role, hidden, named))
+    flush()
+
+    held = [0] * len(nodes)
+    for i, text in found:
+        held[i] += len(text)
+    for i in range(len(nodes) - 1, 0, -1):
+        held[nodes[i][0]] += held[i]
+    state = [("", False)]
+    for i, (above, tag, _, role, hidden, named) in enumerate(nodes[1:], 1):
+        fixed, main = state[above]
+        worthless = hidden or (named and 2 * held[i] <= held[0])
+        if (tag in _MAIN or role in ("main", "article")) and not worthless and (fixed != "0" or nodes[above][1] in ("form", "nav", "header")):
             fixed, main = "1", True
-        elif fixed != "0" and (named or (tag in _ASIDE and not (tag == "header" and main))):
+        elif fixed != "0" and (worthless or (tag in _ASIDE and not (tag == "header" and main))):
             fixed = "0"
-        stack.append((tag, f"{path}/{tag}{'.' + '.'.join(label.split()) if label else ''}", fixed, main))
-    yield from flush()
+        state.append((fixed, main))
+    for i, text in found:
+        yield nodes[i][2], text, *state[i]
 
 
 def block_hash(path: str, text: str) -> int:
@@ -139,8 +161,10 @@ def extract(page: str | None, low: set[str], repeated: Set[int] = frozenset()) -
     return " ".join(text for path, text in kept if not repeated or block_hash(path, text) not in repeated)
 
 
-def tree_rows(page: str | None) -> list[tuple[str, bool, bool, int, int]]:
-    """(path, main, whole, a, b) of the open elements of one page; each distinct row once.
+def tree_rows(page: str | None) -> list[tuple[int, str, bool, bool, int, int]]:
+    """(page, path, main, whole, a, b) of the open elements of one page; each distinct row once.
+
+    Page is a digest of all its open blocks, so that copies have equal rows.
 
     Whole rows describe an element: a is its style, the digest of the tags its blocks and children show, and b its content, the
     digest of its own blocks. The others have a block of the element as a. Main tells whether a main element holds it.
@@ -157,26 +181,27 @@ def tree_rows(page: str | None) -> list[tuple[str, bool, bool, int, int]]:
             if not styles.setdefault(above, []) or styles[above][-1] != tag:
                 styles[above].append(tag)
             path = above
-    rows = [(p, inside[p], True, zlib.crc32(" ".join(styles.get(p, [])).encode()), zlib.crc32(" ".join(t).encode())) for p, t in texts.items()]
-    return rows + [(p, inside[p], False, h, 0) for p, t in texts.items() for h in {block_hash(p, x) for x in t}]
+    own = block_hash("", "\n".join(f"{path}\n{text}" for path, text, _, _ in found))
+    rows = [(own, p, inside[p], True, zlib.crc32(" ".join(styles.get(p, [])).encode()), zlib.crc32(" ".join(t).encode())) for p, t in texts.items()]
+    return rows + [(own, p, inside[p], False, h, 0) for p, t in texts.items() for h in {block_hash(p, x) for x in t}]
 
 
 def _cells(pages: DataFrame) -> DataFrame:
-    """host, path, whole, a, b, main, n: the rows of all pages with the number of pages that have them; blocks on fewer than three are left out."""
+    """host, path, whole, a, b, main, n: the rows of all pages with the number of distinct pages that have them; blocks on fewer than three are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name := host(url):
                     rows += [(name, *r) for r in tree_rows(page)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "path", "main", "whole", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "page", "path", "main", "whole", "a", "b"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, path string, main boolean, whole boolean, a long, b long")
+    rows = pages.select("url", "html").mapInArrow(run, "host string, page long, path string, main boolean, whole boolean, a long, b long")
     # One aggregation of all rows first; entropies and repeated blocks follow from its counts.
-    counts = rows.groupBy("host", "path", "whole", "a", "b").agg(F.count("*").alias("n"), F.max("main").alias("main"))
+    counts = rows.distinct().groupBy("host", "path", "whole", "a", "b").agg(F.count("*").alias("n"), F.max("main").alias("main"))
     return cut(counts.where(F.col("whole") | (F.col("n") > 2)))
 
 

@@ -106,3 +106,19 @@ def test_main_elements_are_a_prior_only(spark):
     for i in range(12):
         assert out[i] == " ".join(f"Long text of page {i}, {'word ' * i}".split())
         assert out[100 + i] == f"Title {i} Body of page {i}"
+
+
+@pytest.mark.parametrize("names", ["single no-sidebar", "has-sidebar", "admin-nav menu", "menu"])
+def test_names_of_wrappers_empty_no_page(names):
+    inner = "<article><p>The text of it, long enough</p></article><div class='sidebar'>side</div><div class='site-footer'>foot</div>"
+    for page in (f"<body class='{names}'>{inner}</body>", f"<html class='{names}'><body>{inner}</body></html>", f"<body><div class='{names}'>{inner}</div></body>"):
+        assert html_main.extract(page, set()) == "The text of it, long enough"
+    states = "<div class=no-sidebar>short</div><div class=menu>cut</div><p>The text of it, long enough</p>"
+    assert html_main.extract(states, set()) == "short The text of it, long enough"
+
+
+def test_copies_of_a_page_are_no_evidence(spark):
+    page = lambda i: f"<body><div class=text><p>Text of article {i}, {'word ' * i}</p></div><div class=low>All rights kept</div></body>"
+    pages = [(i, f"https://copies.example/{i}", page(max(0, i - 99))) for i in range(120)]
+    out = {r.page_id: r.text for r in html_main.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Text of article {(n := max(0, i - 99))}, {'word ' * n}".strip() for i in range(120)}
