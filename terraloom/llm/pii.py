@@ -41,8 +41,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# An address is taken from its separator; a bare "at" needs its blanks, which it leaves to its neighbours.
+_AT = re.compile(r"@|[(\[]\x20?(?:at|@)\x20?[)\]]|at(?<=\x20at)(?=\x20)")
+_MOST_LOCAL = 64
+_WRITTEN_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[]\x20?dot\x20?[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63})+")
 _WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:@|\x20?[(\[]\x20?(?:at|@)\x20?[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[]\x20?dot\x20?[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63})+"),
     "phone": re.compile(r"(?<![0-9+])[(0-9][\x20().0-9/-]{5,22}[0-9](?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9])"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:[.\x20]{1,2}[0-9]{1,3}){3}(?![0-9])"),
@@ -95,15 +98,19 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed spans of all kinds; they may overlap."""
     out = []
     for kind, pattern in _WIDE.items():
-        if kind != "email":
-            out += [(kind, *m.span()) for m in pattern.finditer(text)]
-        elif "@" in text or re.search(r"[\x20(\[]at[\x20)\]]", text):
-            # From each separator, so that a long run of word characters is not scanned again and again.
-            for m in re.finditer(r"@|\x20?[(\[]\x20?(?:at|@)\x20?[)\]]|\x20at\x20", text):
-                low = max(0, m.start() - 64)
-                for e in pattern.finditer(text, low, min(len(text), m.end() + 200)):
-                    out.append((kind, *e.span()))
-                    break
+        out += [(kind, *m.span()) for m in pattern.finditer(text)]
+    if "@" in text or re.search(r"[\x20(\[]at[\x20)\]]", text):
+        # Each separator proposes the address that spans it, whatever stands before.
+        for m in _AT.finditer(text):
+            start, after = m.span()
+            if m[0] != "@":
+                start, after = start - (text[start - 1 : start] == " "), after + (text[after : after + 1] == " ")
+            if e := _WRITTEN_DOMAIN.match(text, after):
+                low, stop = max(0, start - _MOST_LOCAL), start
+                while start > low and _LOCAL.match(text, start - 1):
+                    start -= 1
+                if start < stop:
+                    out.append(("email", start, e.end()))
     return sorted(set(out))
 
 

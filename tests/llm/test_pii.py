@@ -63,3 +63,13 @@ def test_candidates_add_written_forms():
     assert spans == [("phone", 12, 26)]
     assert pii.all_spans("the order 2024-01-15 of it", model) == []
     assert pii.redact("call (511) 555-6887 now", [("phone", 5, 19)]) == "call [PHONE] now"
+
+
+def test_every_separator_proposes_its_address():
+    text = "mail a@b.org or bob [at] c.net"
+    assert [text[a:b] for k, a, b in pii.candidates(text) if k == "email"] == ["a@b.org", "bob [at] c.net"]
+    model = pii.Boosted().fit(*pii.constructed()).calibrate(*pii.constructed())
+    assert [text[a:b] for _, a, b in pii.all_spans(text, model)] == ["a@b.org", "bob [at] c.net"]
+    names = ["ann [at] one.net", "ben(at)two.org", "cay at three dot com", "dan ( @ ) four [dot] net", "eve@five.org"]
+    text = "write to " + ", ".join(names) + " or look at at six.org"
+    assert [text[a:b] for k, a, b in pii.candidates(text) if k == "email"] == [*names, "at at six.org"]
