@@ -9,6 +9,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from terraloom.functions import text as tx
 from terraloom.operators import checks, corpus, harmonise, joins, metrics, retrieval, star
 from terraloom.operators.metrics import MetricTable
+from terraloom.plans import registry
 
 
 def one(spark, **columns):
@@ -31,6 +32,14 @@ def test_claims(spark, text, direction, magnitude, unit):
     assert one(spark, **corpus.claims(F.lit(text).cast("string"))) == {"direction": direction, "magnitude": magnitude, "unit": unit}
 
 
+def test_claims_query_reads_whole_texts(spark, tmp_path):
+    long = "Some words on the harvest and its storage come first. " * 20
+    rows = [(1, f"{long}Yields increased by 8.5% year-on-year."), (2, long), (3, None), (4, f"{long}\nPrices fell.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.direction, r.magnitude, r.unit) for r in registry.queries()["c17_claims"](spark, str(tmp_path)).collect()}
+    assert out == {1: ("increasing", 8.5, "pct_yoy"), 2: (None, None, None), 3: (None, None, None), 4: ("decreasing", None, None)}
+
+
 @pytest.mark.parametrize(
     ("text", "date"),
     [("2025-01-15", "2025-01-15"), ("2025-01-15T12:30:00Z", "2025-01-15"), ("2025-03", "2025-03-01"), ("2024", "2024-01-01"), ("Fri, 25 Sep 2024 12:00:00 GMT", "2024-09-25"), ("Fri, 25 Se", None), ("not a date", None), ("on 2023-02-03, late", "2023-02-03"), ("2023-02-31", None), (None, None)],
