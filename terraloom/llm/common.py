@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a new temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a new temporary one on a local master; a cluster's tasks share none, so there it is an error."""
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if current.isEmpty():
+        if named is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="terraloom-checkpoint-"))
         current = jsc.getCheckpointDir()
     return named or current.get()
@@ -37,18 +40,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "zstd", folder: str | None = None) -> DataFrame:
     """Write a larger intermediate to the shared folder as Parquet and read it back, columns prunable."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """A folder in the shared one for the intermediates of one job; close() deletes it, once nothing is to be computed from them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        return stage(df, name, folder=self.folder)
+
+    def close(self) -> None:
+        remove(self.spark, self.folder)
+
+
 def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only if a count shows at most max_rows narrow rows; otherwise leave the join to Catalyst."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def bounded_sample(df: DataFrame, order: F.Column, most: int) -> DataFrame:
+    """At most `most` rows of df, of the least hashes `order` (a long). Rows beyond a cutoff set from the count go before the sort, so all tasks
+    together send about `most` rows, not each of them. df is read twice: stage or checkpoint it before."""
+    n = df.count()
+    wanted = most + 6 * most**0.5 + 10
+    cutoff = (1 << 63) - 1 if n <= wanted else int(-(1 << 63) + (1 << 64) * (wanted / n))
+    return df.where(order <= cutoff).orderBy(order).limit(most)
+
+
 def word_count(text) -> F.Column:
     """Words of a text column as a long; null and wordless texts give 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -9,15 +9,19 @@ the threshold is missed with a probability below `miss`.
 Equal sets are one class from the start, so copies never form pairs, and within a bucket no pairs are listed either.
 First, all members of a bucket are tested against its most popular one. Buckets that then still hold several
 components are followed up exactly: small ones as they are; the members of large ones are dealt anew by their rarest
-shingles, since sets that are to share enough must share one of those. In rounds, a few members of the smallest
-components of a bucket become hubs, every member of another component is tested against them, and they are set aside.
-A bucket closes when what is left is one component, so every pair of a bucket is tested, connected or ruled out by
-its shingles. Links are contracted to components by alternating large and small stars.
+shingles, since sets that are to share enough must share one of those. In rounds, some members of the smallest
+components of a bucket become hubs, every member of another component meets them in a join, and they are set aside.
+A bucket closes when what is left is one component, so every pair of a bucket is tested, connected or ruled out by its
+sizes or shingles. The number of hubs grows fourfold with each round, so rounds grow with the logarithm of a bucket's
+size. Hubs and members are rows, never arrays. Links are contracted to components by alternating large and small stars.
 
 Defined cases: null, empty and wordless texts have an empty set, are linked with nothing, and are their own
 component; rows with a null doc_id take part in links, and are kept only in components without any id;
-repeated rows are equal sets, hence one component (each row of the kept id is kept); an empty table
-gives an empty result; extra columns are not read. Hashes have 64 bits: among N distinct sets, or words,
+repeated rows are equal sets, hence one component (each row of the kept id is kept); ties between popular members
+or hubs go to the greater or lesser digest, which changes no component; a very long text is one set, hashed in slices of
+whole texts, and takes part with its rarest `HEAD` shingles in the bounds and with all in the test; an empty table
+gives an empty result; extra columns are not read, and may have any names in `distinct_documents`, whose rows stay where
+any row of their id is kept. Hashes have 64 bits: among N distinct sets, or words,
 about N^2 / 2^65 pairs collide.
 """
 
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import cut, pieces, small, stage, table, utf8
+from terraloom.llm.common import Scratch, cut, pieces, small, stage, table, utf8
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -43,8 +47,8 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER] | U(1)
 _SLICE = 1 << 20
-#: Shingles of a set beyond its prefix that a pair is compared on before the full sets are.
-HEAD = 24
+#: The rarest shingles of a set that a pair is compared on before the full sets are.
+HEAD = 64
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -116,7 +120,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     sigma = (_mix(np.concatenate(sets)) >> U(32)).astype(np.uint32)
     out = np.empty((len(sets), size), np.uint32)
     x, y = np.empty_like(sigma), np.empty_like(sigma)
-    for k in range(size):  # pi: the 32-bit finaliser of MurmurHash3, a permutation
+    for k in range(size):  # pi: MurmurHash3's 32-bit finaliser without its last shift, a permutation of 2^32
         np.add(sigma, np.uint32(k), out=x)
         np.right_shift(x, 16, out=y)
         np.bitwise_xor(x, y, out=x)
@@ -201,21 +205,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _tests(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components from rows (node, comp, n, hubs) whose sizes, and rarest shingles where rows have them, allow a link."""
+def _tests(rows: DataFrame, hubs: DataFrame, percent: int, room: Scratch) -> DataFrame:
+    """Distinct pairs (a, b) of rows with hubs of their bucket in other components, if the sizes, and the rarest shingles where known, allow a link.
 
-    def fits(h):
-        sizes = 100 * F.least("n", h["n"]) >= percent * F.greatest("n", h["n"])
-        pair = (h["node"] != F.col("node")) & (h["comp"] != F.col("comp")) & sizes
-        if "head" not in rows.columns:
-            return pair
-        # Up to the lesser of the two last ranks, both heads are complete: what they don't share there, the sets don't.
-        beyond = F.when(F.col("edge") <= h["edge"], F.col("n") - F.size("head")).otherwise(h["n"] - F.size(h["head"]))
-        most = F.size(F.array_intersect("head", h["head"])) + beyond
-        return pair & F.coalesce((100 + percent) * most >= percent * (F.col("n") + h["n"]), F.lit(True))
-
-    tests = rows.select("node", F.explode(F.filter("hubs", fits)).alias("h"))
-    return stage(tests.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "pairs")
+    Both have bucket, node, comp, n, head and edge. The bounds stand in the join's condition, so no row is made for a pair that they rule out.
+    """
+    r, h = rows.alias("r"), hubs.alias("h")
+    n, m = F.col("r.n"), F.col("h.n")
+    # Up to the lesser of the two last ranks, both heads are complete: what they don't share there, the sets don't.
+    beyond = F.when(F.col("r.edge") <= F.col("h.edge"), n - F.size("r.head")).otherwise(m - F.size("h.head"))
+    shared = F.size(F.array_intersect("r.head", "h.head")) + beyond
+    link = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col("r.comp") != F.col("h.comp")) & F.coalesce((100 + percent) * shared >= percent * (n + m), F.lit(True))
+    pairs = r.join(h, (F.col("r.bucket") == F.col("h.bucket")) & link)
+    return room.stage(pairs.select(F.least("r.node", "h.node").alias("a"), F.greatest("r.node", "h.node").alias("b")).distinct(), "pairs")
 
 
 def _connect(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -226,36 +228,37 @@ def _connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(labels.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")))
 
 
-def _prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefixes(rows: DataFrame, sets: DataFrame, percent: int, room: Scratch) -> DataFrame:
     """Buckets (bucket, node, n, head, edge) by shared rare shingles, for rows (node, comp, n, least) of classes in large buckets.
 
     least: the smallest set in a bucket with the node. A partner shares at least `need` shingles, so it has one of any
     n - need + 1 of the node's; the rarest are taken, in one order for all nodes. Shingles of one component alone
-    use up that number, but make no bucket. head holds these and the `HEAD` next shingles, edge the last one's rank.
+    use up that number, but make no bucket. head holds the `HEAD` rarest shingles of the node, edge the last one's rank.
     """
     n, other = F.col("n"), F.least(F.col("n"), F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100)))
     need = F.ceil(percent * (n + other) / (100 + percent) - 1e-9)
     nodes = rows.groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.max(n - need + 1).alias("most"))
-    items = stage(nodes.join(sets, "node").select("node", "comp", "n", "most", F.explode("items").alias("bucket")), "items")
+    items = room.stage(nodes.join(sets, "node").select("node", "comp", "n", "most", F.explode("items").alias("bucket")), "items")
     df = items.groupBy("bucket").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("open"))
     order = W.partitionBy("node").orderBy("df", "bucket")
-    ranked = items.join(df, "bucket").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("most") + HEAD)
-    whole = W.partitionBy("node")
-    ranked = ranked.withColumns({"head": F.collect_list("bucket").over(whole), "edge": F.max(F.struct("df", "bucket")).over(whole)})
+    ranked = items.join(df, "bucket").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.greatest("most", F.lit(HEAD)))
+    whole, first = W.partitionBy("node"), F.col("rank") <= HEAD
+    ranked = ranked.withColumns({"head": F.collect_list(F.when(first, F.col("bucket"))).over(whole), "edge": F.max(F.when(first, F.struct("df", "bucket"))).over(whole)})
     return ranked.where(F.col("open") & (F.col("rank") <= F.col("most"))).select("bucket", "node", "n", "head", "edge")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85, rows: int = 6, miss: float = 1e-6, hubs: int = 4, large: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85, rows: int = 6, miss: float = 1e-6, hubs: int = 64, large: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     bands = bands_for(percent, rows, miss)
+    room = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage(texts.mapInArrow(_sign(shingle, rows, bands), "doc_id long, n_shingles long, node long, bands array<long>"), "signed")
 
     # One row for each distinct set, then the buckets that hold at least two of them.
     classes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    members = stage(classes.select("node", "doc_id", "n", F.explode("bands").alias("bucket")), "members")
+    members = room.stage(classes.select("node", "doc_id", "n", F.explode("bands").alias("bucket")), "members")
     shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    left = stage(members.join(shared, "bucket"), "buckets")
+    left = room.stage(members.join(shared, "bucket"), "buckets")
 
     # Full sets of the classes in those buckets, from one text each. A class in many large buckets is popular.
     wanted = cut(left.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.sum("c").alias("pop")))
@@ -263,41 +266,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if wanted.where("doc_id IS NULL").limit(1).count():
         held = held.unionByName(texts.where("doc_id IS NULL"))
     sets = held.select("text").mapInArrow(_hold(shingle), "node long, items array<long>").join(small(wanted.select("node"), 1_000_000), "node", "left_semi")
-    sets = stage(sets.groupBy("node").agg(F.first("items").alias("items")), "sets")
+    sets = room.stage(sets.groupBy("node").agg(F.first("items").alias("items")), "sets")
 
     # First every bucket's members against its most popular one, which is close to most of a group of near copies.
-    known = left.join(wanted.select("node", "pop"), "node").select("bucket", "node", "n", "pop", F.col("node").alias("comp"))
-    tops = known.groupBy("bucket").agg(F.array(F.max(F.struct("pop", "node", "comp", "n"))).alias("hubs"))
+    bare = {"head": F.lit(None).cast("array<bigint>"), "edge": F.lit(None).cast("struct<df:bigint,bucket:bigint>")}
+    known = left.join(wanted.select("node", "pop"), "node").select("bucket", "node", "n", "pop", F.col("node").alias("comp")).withColumns(bare)
+    tops = known.groupBy("bucket").agg(F.max(F.struct("pop", "node", "comp", "n", "head", "edge")).alias("hub")).select("bucket", "hub.*")
     labels = wanted.select("node", F.col("node").alias("comp"))
-    links = cut(_verify(_tests(known.join(tops, "bucket"), percent), sets, percent))
+    links = cut(_verify(_tests(known, tops, percent, room), sets, percent))
     if links.limit(1).count():
         labels = _connect(labels, links)
 
     # Then what is left of the buckets: small ones as they are, large ones divided by rare shingles.
     now = left.join(labels, "node")
     ends = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi")
-    open_rows = stage(now.join(ends.select("bucket", "least"), "bucket"), "open")
-    rest = _prefixes(open_rows.where(F.col("c") > large), sets, percent)
-    rest = rest.unionByName(open_rows.where(F.col("c") <= large).select("bucket", "node", "n"), allowMissingColumns=True)
-    spots = hubs
+    open_rows = room.stage(now.join(ends.select("bucket", "least"), "bucket"), "open")
+    rest = _prefixes(open_rows.where(F.col("c") > large), sets, percent, room)
+    rest = rest.unionByName(open_rows.where(F.col("c") <= large).select("bucket", "node", "n").withColumns(bare))
     while True:
+        # Hubs are rows, at most `hubs` of a bucket; one of each salt, of the smallest component. Their buckets hold several components.
         sizes = labels.groupBy("comp").agg(F.count("*").alias("weight"))
-        rest = rest.join(labels.join(sizes, "comp"), "node")
-        salt = F.pmod(F.xxhash64("node"), F.lit(spots))
+        rest = room.stage(rest.join(labels.join(sizes, "comp"), "node"), "open")
+        salt = F.pmod(F.xxhash64("node"), F.lit(hubs))
         tops = rest.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("weight", "node", "comp", "n", "head", "edge")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        chosen = tops.groupBy("bucket").agg(F.collect_list("hub").alias("hubs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("bucket", "hubs")
-        rest = stage(rest.drop("weight").join(chosen, "bucket"), "open")
-        if rest.limit(1).count() == 0:
+        tops = room.stage(tops.select("bucket", "hub.*", "lo", "hi"), "hubs")
+        several = tops.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("bucket")
+        tops = tops.join(several, "bucket", "left_semi").select("bucket", "node", "comp", "n", "head", "edge")
+        if tops.limit(1).count() == 0:
             break
-        links = cut(_verify(_tests(rest, percent), sets, percent))
+        links = cut(_verify(_tests(rest, tops, percent, room), sets, percent))
         if links.limit(1).count():
             labels = _connect(labels, links)
-        rest = rest.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "n", "head", "edge")
-        spots = min(4 * spots, 256)
+        # What stays: the buckets that were open, without their hubs.
+        rest = rest.join(several, "bucket", "left_semi").join(tops.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        rest = rest.select("bucket", "node", "n", "head", "edge")
+        hubs *= 4
 
     # Least doc_id of each component; sets that share no bucket are components of their own.
     ids = classes.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
     ids = cut(ids)
+    room.close()
     heads = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = ids.join(heads, "comp").select("node", "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
@@ -305,9 +313,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is kept: one document of each group of near-duplicates. Ids must be unique."""
-    kept = near_duplicates(docs, shingle=shingle, percent=percent).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The rows of docs whose id is kept: one document of each group of near-duplicates, and copies of it with the same id."""
+    kept = near_duplicates(docs, shingle=shingle, percent=percent).where("kept").select(F.col("doc_id").alias("id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_semi").select("row.*")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,30 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     out = {r.node: r.comp for r in near_dedup.components(links).collect()}
     assert all(out[i] == 0 for i in range(1, 41)) and out[101] == 100
+
+
+def test_whole_documents_table_against_brute_force(spark):
+    """All of sf0.01: every set size and component, so no link is lost (recall 1) and none is made up."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k, percent in ((3, 85), (5, 80)):
+        out = near_dedup.near_duplicates(docs, shingle=k, percent=percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute(rows, k, percent)
+
+
+def test_rounds_end_with_few_hubs(make_docs):
+    rows = copies(11, n=60, most=12)
+    out = near_dedup.near_duplicates(make_docs(rows), hubs=1, large=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute(rows, 3, 85)
+
+
+def test_clashing_columns_repeated_ids_and_intermediates(spark, make_docs):
+    docs = make_docs([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)])
+    for name in ("id", "_id", "row", "node", "kept", "component_id", "bands"):
+        docs = docs.selectExpr("*", f"1 AS {name}")
+    out = near_dedup.distinct_documents(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 1, 3]
+    import pathlib
+
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    assert not list(shared.glob("scratch-*"))
