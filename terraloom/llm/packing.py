@@ -11,7 +11,8 @@ stream, and sequences that run out of segments, are cut to powers of two, so not
 `cut=False` (instruction data): examples stay whole; those that break a limit alone get sequence_id null.
 
 Defined cases: null and empty texts have no token but the end id, hence one piece of length 1; a null
-doc_id is carried; repeated rows are packed once each; an empty table gives no sequences; extra columns are
+doc_id is carried; repeated rows are packed once each; very long texts are cut into full sequences as they come; ties between
+products go to the item that entered the pool's array first; an empty table gives no sequences; extra columns are
 not read. Sequence ids hold the task's partition and a number within it: they are unique, and stay the
 same when a lost task runs again, as the split of the scan does not change.
 """
@@ -132,9 +133,9 @@ def _sequence(partition: int, number: int | None) -> int | None:
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def _pack_texts(path: str, length: int, segments: int):
+def _pack_texts(path: str, length: int, segments: int, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, packer, part = encoder(path), Packer(length, segments, length), TaskContext.get().partitionId()
+        code, packer, part = encoder(path, specials), Packer(length, segments, length), TaskContext.get().partitionId()
         out: list[tuple] = []
 
         def place(placed) -> None:
@@ -167,11 +168,11 @@ def _pack_texts(path: str, length: int, segments: int):
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS) -> DataFrame:
-    """A row per piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every token of a document bears loss."""
+def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, specials: bool = False) -> DataFrame:
+    """A row per piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every token of a document bears loss. specials: whether a special token's name in a text stands for it."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kinds = ", ".join(f"{f.name} long" for f in _PIECE)
-    return slim.mapInArrow(_pack_texts(path or default_path(), length, segments), kinds)
+    return slim.mapInArrow(_pack_texts(path or default_path(), length, segments, specials), kinds)
 
 
 def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LENGTH) -> DataFrame:
@@ -204,4 +205,4 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
 
 
 def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), specials=True)

@@ -127,9 +127,9 @@ def _kind(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def _tokenize(path: str, kind: str):
+def _tokenize(path: str, kind: str, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        code = encoder(path, specials)
         for batch in batches:
             for i, ids, at in code.encode(*utf8(batch.column(1))):
                 ends = at[1:] + np.arange(1, len(at))
@@ -188,13 +188,13 @@ def _write(lengths: np.ndarray, kind: str):
     return run
 
 
-def write_store(docs: DataFrame, path: str | None = None, size: int = 50_257) -> str:
-    """Encode all documents and return the folder: `blocks` (Parquet, a row per block) and `lengths` (id, length)."""
+def write_store(docs: DataFrame, path: str | None = None, size: int = 50_257, specials: bool = False) -> str:
+    """Encode all documents and return the folder: `blocks` (Parquet, a row per block) and `lengths` (id, length). specials: whether a special token's name in a text stands for it."""
     spark = docs.sparkSession
     out = f"{shared_dir(spark).rstrip('/')}/token-store-{uuid.uuid4().hex}"
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = _kind(size)
-    ids = stage(slim.mapInArrow(_tokenize(path or default_path(), kind), "doc_id long, ids binary"), "token-ids")
+    ids = stage(slim.mapInArrow(_tokenize(path or default_path(), kind, specials), "doc_id long, ids binary"), "token-ids")
     counts = np.zeros(size, np.int64)  # one number for each id of the vocabulary
     for row in ids.select("ids").mapInArrow(_count(size, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row.id] = row.n
@@ -236,4 +236,4 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_store(spark, write_store(table(spark, sf_dir, "documents")))
+    return read_store(spark, write_store(table(spark, sf_dir, "documents"), specials=True))

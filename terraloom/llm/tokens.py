@@ -3,8 +3,11 @@
 The library splits a text into pieces and encodes each piece alone, so equal pieces have equal ids. Here
 a slice of texts is split in bulk: each code point has one of four classes, asked of the library's own
 pre-tokenizer, and piece borders follow from neighbouring classes. The library's model then encodes each
-distinct piece once, and a bounded cache keeps the ids between slices. A text with code points whose class is not known
-goes through the library whole.
+distinct piece once, and a bounded cache keeps the ids between slices (by 64-bit hashes: among N distinct pieces about N^2 / 2^65
+pairs collide). A text with code points whose class is not known goes through the library whole.
+
+A text may hold the name of a special token literally. With `specials` it becomes that token's id, as the library does by
+default; without, it is text like any other, so no document can place a control token in a training sequence.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ _SLICE = 1 << 20
 _LETTER, _DIGIT, _SPACE, _OTHER, _UNKNOWN = range(5)
 _SUFFIX = regex.compile("'(?:s|t|re|ve|m|ll|d)")
 _BASE = 0x9E3779B97F4A7C15
-_made: dict[str, "Encoder"] = {}
+_made: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def default_path() -> str:
@@ -30,11 +33,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str) -> "Encoder":
+def encoder(path: str, specials: bool = False) -> "Encoder":
     """One encoder for each vocabulary file and Python worker."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+    if (path, specials) not in _made:
+        _made[path, specials] = Encoder(path, specials=specials)
+    return _made[path, specials]
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -45,11 +48,13 @@ def _byte_symbols() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, path: str, most_cached: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_cached: int = 1_000_000, specials: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not specials
+        added = self.whole.get_added_tokens_decoder().values()
+        self.names = [t.content for t in added if specials or not t.special]
         self.model, self.symbols, self.most = self.whole.model, _byte_symbols(), most_cached
         self.classes = self._classes()
         up = np.full(4 * _SLICE, _BASE, np.uint64)
@@ -115,14 +120,20 @@ class Encoder:
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         kinds = self.classes[points]
         ends = np.cumsum([len(t) for t in texts])
-        if len(points) > len(self.up) or (kinds == _UNKNOWN).any():
-            strange = np.zeros(len(texts), bool)
+        named = any(name in joined for name in self.names)
+        if len(points) > len(self.up) or named or (kinds == _UNKNOWN).any():
+            strange = np.array([named and any(name in t for name in self.names) for t in texts])
             strange[np.searchsorted(ends, np.flatnonzero(kinds == _UNKNOWN), "right")] = True
             strange |= np.array([len(t) > len(self.up) for t in texts])
             parts: list[np.ndarray] = [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32) if s else np.zeros(0) for t, s in zip(texts, strange, strict=True)]
+            if named and not strange.any():  # a name that runs over a border of texts
+                return self._bulk(texts, joined, points, kinds, ends)
             for r in np.flatnonzero(~strange):
                 parts[r] = self._slice([texts[r]])[0]
             return np.concatenate(parts).astype(np.uint32), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return self._bulk(texts, joined, points, kinds, ends)
+
+    def _bulk(self, texts: list[str], joined: str, points: np.ndarray, kinds: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins = np.concatenate([[0], ends[:-1]])
         begins = begins[begins < len(points)]
         cuts = self._cuts(joined, points, kinds, begins, ends)
