@@ -12,14 +12,16 @@ trees; a kind's threshold is the least score from which its held-out precision s
 (none: nothing is added for that kind).
 
 Defined cases: null and empty texts have no spans; repeated rows are searched one by one; an empty table trains on
-the constructed rows and gives an empty result; extra columns are not read. Offsets are code points, end exclusive.
+the constructed rows and gives an empty result; a very long text is one unit of work, its spans kept in sorted lists; candidates
+of equal score are chosen by start; extra columns are not read. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import table
+from terraloom.llm.common import bounded_sample, cut, pieces, table, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_LABELLED = 6000
 PRECISION = 0.98
+_SLICE = 4 << 20
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -145,37 +148,51 @@ def distant_label(text: str, kind: str, start: int, end: int, base: list[tuple[s
     return None
 
 
-def constructed() -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and labels of made-up sentences: each kind in a fitting context, and numbers that are none of them."""
-    rows, labels = [], []
+def constructed(n: int = 60, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows and labels of made-up sentences, `n` for each form: personal data of every kind, and numbers and phrases of the same shapes that are none.
 
-    def put(text: str, kind: str, value: str, label: int) -> None:
-        at = text.index(value)
-        rows.append(features(text, kind, at, at + len(value)))
-        labels.append(label)
-
-    for i in range(60):
-        a, b, c = 200 + 13 * i % 700, 100 + 37 * i % 900, 1000 + 811 * i % 9000
-        for form in (f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a} {b} {c}"):
-            put(f"please call {form} today", "phone", form, 1)
-            put(f"order {form} was sent", "phone", form, 0)
-        for value in (f"2024-{1 + i % 12:02d}-{1 + i % 28:02d}", f"{a}.{b}.{c}", f"{a}{b}{c}{a}"):
-            put(f"version {value} of it", "phone", value, 0)
-            put(f"the {value} of it", "phone", value, 0)
-        written = f"user{i} at mail{i % 9} dot org"
-        put(f"write to {written} soon", "email", written, 1)
-        loose = f"look at this dot com{i}"
-        put(f"we {loose} now", "email", loose, 0)
-        bracket = f"name.{i} [at] host{i % 7}.net"
-        put(f"mail {bracket} please", "email", bracket, 1)
-        plain = f"{a % 256}.{b % 256}.{i}.{c % 256}"
-        put(f"server {plain} is down", "ip", plain, 1)
-        spaced = f"{a % 256} {b % 256} {i} {c % 256}"
-        put(f"scores {spaced} at last", "ip", spaced, 0)
-        for number, want in ((f"4{i:02d}{c}{a}{b}{c % 100:02d}", True), (f"5{i:02d}{c}{b}{a}{c % 100:02d}", False)):
-            check = next(str(d) for d in range(10) if luhn(number + str(d)) == want)
-            put(f"card {number + check} valid", "card", number + check, int(want))
-    return np.array(rows), np.array(labels, float)
+    What a span is follows from what was written, not from its features: forms, words around and values are drawn independently.
+    """
+    rng = random.Random(seed)
+    rows, labels = [], []
+    digits = lambda k: "".join(str(rng.randrange(10)) for _ in range(k))
+    lead = lambda k: str(rng.randrange(1, 10)) + digits(k - 1)
+    filler = ("the field was dry", "we met in spring", "y luego", "und dann", "et puis", "as agreed", "harvest report", "thanks", "", "see below", "-", "|")
+    name = lambda: rng.choice(("ann", "bob", "user", "info", "j.smith", "maria")) + rng.choice(("", digits(2), f".{rng.choice('abc')}"))
+    host = lambda: rng.choice(("mail", "host", "farm", "office")) + rng.choice(("", digits(1), "-shop"))
+    tld = lambda: rng.choice(("org", "net", "com", "de"))
+
+    def checked(number: str, want: bool) -> str:
+        return number + next(str(d) for d in range(10) if luhn(number + str(d)) == want)
+
+    def spaced(number: str) -> str:
+        by = rng.choice(("", " ", "-"))
+        return by.join(number[i : i + 4] for i in range(0, len(number), 4))
+
+    phones = (lambda: f"({lead(3)}) {lead(3)}-{digits(4)}", lambda: f"{lead(3)}-{lead(3)}-{digits(4)}", lambda: f"0{lead(3)} {lead(3)} {digits(4)}", lambda: f"0{lead(2)}/{lead(3)} {digits(3)} {digits(2)}", lambda: f"{lead(3)}.{digits(3)}.{digits(4)}")
+    written = (lambda: f"{name()} at {host()} dot {tld()}", lambda: f"{name()} [at] {host()}.{tld()}", lambda: f"{name()}(at){host()}.{tld()}", lambda: f"{name()} (at) {host()} [dot] {tld()}", lambda: f"{name()}@{host()}.{tld()}")
+    forms = [
+        ("phone", 1, phones, ("please call", "phone", "tel.", "mobile:", "ring me:", "contact us at", "fax")),
+        ("phone", 0, phones, ("order", "invoice", "version", "total", "page", "section", "price")),
+        ("phone", 0, (lambda: f"20{digits(2)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", lambda: f"{lead(2)}.{digits(2)}.{digits(3)}", lambda: lead(rng.randint(7, 18)), lambda: f"{lead(1)} {digits(3)} {digits(3)} {digits(3)}", lambda: f"{rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.20{digits(2)}", lambda: f"{lead(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"), ("on", "the", "of", "date", "isbn", "about", "year", "version", "the price is")),
+        ("email", 1, written, ("write to", "mail", "contact", "reply to", "my address is", "ask")),
+        ("email", 0, (lambda: f"look at this dot com{digits(1)}", lambda: f"aim at {digits(2)}.{digits(1)}", lambda: f"arrive at noon.the next", lambda: f"prices at {lead(2)}.{digits(2)}", lambda: f"meet at gate.{digits(1)}"), ("we", "they", "please", "then", "soon we")),
+        ("ip", 1, (lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),), ("server", "host", "from", "ping", "address", "ip", "logged in as root,")),
+        ("ip", 0, (lambda: " ".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"{rng.randrange(9)}.{rng.randrange(99)}. {rng.randrange(99)}.{rng.randrange(300, 999)}"), ("scores", "sizes", "rows", "chapter", "the")),
+        ("card", 1, (lambda: spaced(checked(rng.choice("3456") + digits(14), True)),), ("card", "visa", "charged to", "credit card no.", "pan", "account", "paid with")),
+        ("card", 0, (lambda: spaced(checked(lead(rng.randint(11, 18)), False)),), ("card", "order", "isbn", "the", "tracking", "account", "total")),
+    ]
+    for kind, label, makers, words in forms:
+        for make in makers:
+            for i in range(n):
+                value, before = make(), rng.choice(words)
+                text = f"{rng.choice(filler)} {before} {value} {rng.choice(filler)}"
+                at = text.index(value, text.index(f"{before} {value}"))
+                rows.append(features(text, kind, at, at + len(value)))
+                labels.append(label)
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    return np.array([rows[i] for i in order]), np.array([labels[i] for i in order], float)
 
 
 @dataclass
@@ -241,26 +258,35 @@ class Boosted:
         return self
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about `_SLICE` bytes of the text column, so that Python objects stay bounded; one text is the largest unit."""
+    for batch in batches:
+        for i, j in pieces(utf8(batch.column(text))[1], _SLICE):
+            yield batch.slice(i, j - i)
+
+
 def train(docs: DataFrame, most: int = MOST_LABELLED) -> Boosted:
     """Fit and calibrate on a bounded sample of distantly labelled candidates and on constructed ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for texts in _slices(batches, 0):
             rows: list[list[float]] = []
             labels: list[int] = []
-            for text in batch.column(0).to_pylist():
-                if (spans := candidates(text)) and (base := base_spans(text)) is not None:
+            for text in texts.column(0).to_pylist():
+                if spans := candidates(text):
+                    base = base_spans(text)
                     for s in spans:
                         if (y := distant_label(text, *s, base)) is not None:
                             rows.append(features(text, *s))
                             labels.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], ["x", "y"])
 
-    found = docs.where(F.col("text").rlike("[0-9@]")).select("text").mapInArrow(run, "x array<double>, y int")
-    kept = found.distinct().orderBy(F.xxhash64("x", "y"), "x", "y").limit(most).collect()
+    found = docs.where(F.col("text").rlike("[0-9@]| at ")).select("text").mapInArrow(run, "x array<double>, y int")
+    kept = bounded_sample(cut(found.distinct()), F.xxhash64("x", "y"), most).collect()
     x, y = constructed()
     if kept:
-        x, y = np.concatenate([x, np.array([r.x for r in kept])]), np.concatenate([y, np.array([r.y for r in kept], float)])
+        kept = sorted((tuple(r.x), r.y) for r in kept)
+        x, y = np.concatenate([x, np.array([r[0] for r in kept])]), np.concatenate([y, np.array([r[1] for r in kept], float)])
     held = np.arange(len(y)) % 3 == 0
     return Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
 
@@ -268,14 +294,17 @@ def train(docs: DataFrame, most: int = MOST_LABELLED) -> Boosted:
 def all_spans(text: str, model: Boosted, base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
     """Base spans and the chosen candidates, by start, then kind."""
     chosen = list(base if base is not None else base_spans(text))
-    taken = sorted((a, b) for _, a, b in chosen)
-    reach: list[int] = []
-    for _, b in taken:
-        reach.append(max(b, reach[-1] if reach else 0))
+    # Base spans of different kinds may overlap; their union is a sorted list of disjoint stretches, which chosen candidates join one by one.
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in chosen):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
 
     def free(a: int, b: int) -> bool:
-        i = bisect_right(taken, (b - 1, 1 << 62))
-        return not i or reach[i - 1] <= a
+        i = bisect_left(taken, (b, 0))
+        return not i or taken[i - 1][1] <= a
 
     if spans := [s for s in candidates(text) if free(s[1], s[2])]:
         p = model.score(np.array([features(text, *s) for s in spans]))
@@ -283,8 +312,7 @@ def all_spans(text: str, model: Boosted, base: list[tuple[str, int, int]] | None
             kind, a, b = spans[i]
             if p[i] >= model.thresholds[kind] and free(a, b):
                 chosen.append(spans[i])
-                taken = sorted([*taken, (a, b)])
-                reach = np.maximum.accumulate([e for _, e in taken]).tolist()
+                insort(taken, (a, b))
     return sorted(chosen, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -304,7 +332,7 @@ def find(docs: DataFrame, model: Boosted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "redacted"]
         join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-        for batch in batches:
+        for batch in _slices(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
