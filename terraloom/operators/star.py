@@ -79,9 +79,15 @@ def upsert(target: DataFrame, new: DataFrame, key: Sequence[str], period: str, m
     """target after merging the rows of new beyond its highest period, new rows winning on key.
 
     mode "reference": strictly beyond it, so late rows of the last period never arrive; "late_ok": from `lag` periods
-    before it. An empty or all-null target takes everything. The high-water mark is one row.
+    before it. An empty or all-null target takes everything. The high-water mark is read first, as one value, so that it reaches the scan of
+    new as a literal. Of new rows with one key, the last period's stays, and of those the greatest by the other columns in order.
     """
-    mark = target.agg(F.max(period).alias("_mark"))
-    beyond = F.col(period) > F.col("_mark") if mode == "reference" else F.col(period) >= F.col("_mark") - lag
-    fresh = new.crossJoin(F.broadcast(mark)).where(F.col("_mark").isNull() | beyond).drop("_mark").dropDuplicates(list(key))
+    mark = target.agg(F.max(period)).first()[0]
+    beyond = F.lit(True)
+    if mark is not None:
+        mark = F.lit(mark).cast(target.schema[period].dataType)
+        beyond = F.col(period) > mark if mode == "reference" else F.col(period) >= mark - lag
+    rest = [c for c in new.columns if c not in key]
+    picked = new.where(beyond).groupBy(*key).agg(F.max(F.struct(period, *[c for c in rest if c != period])).alias("_row"))
+    fresh = picked.select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in new.columns])
     return target.join(fresh.select(*key), list(key), "left_anti").unionByName(fresh)

@@ -83,10 +83,10 @@ def route(df: DataFrame, kind: str, targets: Mapping[str, str], path: str, defau
 
 
 def as_of(log: DataFrame, key: Sequence[str], loaded: str, moment: str) -> DataFrame:
-    """The newest row of each key in an append-only log at a moment."""
+    """The newest row of each key in an append-only log at a moment; of equally new ones the greatest by the other columns in order."""
     seen = log.where(F.col(loaded) <= F.lit(moment).cast("timestamp"))
     values = [c for c in log.columns if c not in key]
-    return seen.groupBy(*key).agg(F.max_by(F.struct(*values), loaded).alias("_row")).select(*key, "_row.*")
+    return seen.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(loaded, *values)).alias("_row")).select(*key, "_row.*")
 
 
 def catalogue(spark: SparkSession, database: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,33 +51,82 @@ def accept(times: list[float], recent: list[float], most: int, seconds: float) -
 
 
 def limit_rate(events: DataFrame, key: str, time: str, event_id: str, most: int, seconds: float = 60.0) -> DataFrame:
-    """key, event_id, accepted of a batch: a sliding-window limit for each key. A key's state is its last accepted times, at most `most`."""
-    kinds = dict(events.dtypes)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([time, event_id])
-        passed, _ = accept([t.timestamp() for t in frame[time]], [], most, seconds)
-        return pd.DataFrame({key: frame[key], event_id: frame[event_id], "accepted": passed})
+    """key, event_id, accepted of a batch: a sliding-window limit for each key. Rows without a time are not accepted.
 
-    return events.select(key, event_id, time).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{event_id}` {kinds[event_id]}, accepted boolean")
+    A gap longer than the window ends a run, and what came before it no longer counts, so runs are dealt out on their own. Tasks read
+    them sorted and hold a batch and the last accepted times, however long a run is.
+    """
+    kinds = dict(events.dtypes)
+    line = W.partitionBy("key").orderBy("at", "id")
+    at = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    rows = events.select(F.col(key).alias("key"), F.col(event_id).alias("id"), at.alias("at"))
+    timed = rows.where("at IS NOT NULL").withColumn("gap", F.coalesce((F.col("at") - F.lag("at").over(line) > seconds).cast("int"), F.lit(1)))
+    timed = timed.withColumn("run", F.sum("gap").over(line)).drop("gap")
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, recent = None, []
+        for frame in frames:
+            passed = []
+            for name, run, t in zip(frame["key"], frame["run"], frame["at"], strict=True):
+                own = (None if pd.isna(name) else name, run)
+                if own != last:
+                    last, recent = own, []
+                (good,), recent = accept([t], recent, most, seconds)
+                passed.append(good)
+            yield pd.DataFrame({key: frame["key"], event_id: frame["id"], "accepted": passed})
+
+    dealt = timed.repartition("key", "run").sortWithinPartitions("key", "run", "at", "id")
+    judged = dealt.mapInPandas(judge, f"`{key}` {kinds[key]}, `{event_id}` {kinds[event_id]}, accepted boolean")
+    return judged.unionByName(rows.where("at IS NULL").select(F.col("key").alias(key), F.col("id").alias(event_id), F.lit(False).alias("accepted")))
+
+
+def limit_rate_stream(events: DataFrame, key: str, time: str, event_id: str, most: int, seconds: float = 60.0, late: str | None = None) -> DataFrame:
+    """limit_rate over a stream.
+
+    With `late`, rows wait until the watermark has passed them and are judged in time order, so every row that is not later than that is judged as in
+    a batch; a key's state goes when the watermark leaves its last window. Without, rows are judged as they arrive, in time order within a
+    micro-batch, against the accepted ones up to `seconds` before and after them, and each key keeps its last accepted times.
+    """
+    kinds = dict(events.dtypes)
+    schema = f"`{key}` {kinds[key]}, `{event_id}` {kinds[event_id]}, accepted boolean"
 
+    def rows(name: tuple, ids: list, passed: list[bool]) -> pd.DataFrame:
+        return pd.DataFrame({key: pd.Series([name[0]] * len(ids)), event_id: pd.Series(ids), "accepted": pd.Series(passed, dtype=bool)})
 
-def limit_rate_stream(events: DataFrame, key: str, time: str, event_id: str, most: int, seconds: float = 60.0) -> DataFrame:
-    """limit_rate over a stream: the accepted times of a key are kept between batches, and dropped when it is quiet."""
-    kinds = dict(events.dtypes)
+    def arrived(frames: Iterator[pd.DataFrame]) -> list[tuple]:
+        return sorted((t.timestamp(), i) for frame in frames for t, i in zip(frame[time], frame[event_id], strict=True))
 
-    def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frame = pd.concat(list(frames)).sort_values([time, event_id])
-        recent = list(state.get[0]) if state.exists else []
-        passed, recent = accept([t.timestamp() for t in frame[time]], recent, most, seconds)
+    def at_once(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent, passed = list(state.get[0]) if state.exists else [], []
+        new = arrived(frames)
+        for t, _ in new:
+            passed.append(sum(abs(t - x) < seconds for x in recent) < most)
+            if passed[-1]:
+                recent = sorted([*recent, t])[-most:]
         state.update((recent,))
-        state.setTimeoutDuration(int(2000 * seconds))
-        yield pd.DataFrame({key: frame[key], event_id: frame[event_id], "accepted": passed})
-
-    return events.select(key, event_id, time).groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{event_id}` {kinds[event_id]}, accepted boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        yield rows(name, [i for _, i in new], passed)
+
+    def in_order(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent, times, ids = map(list, state.get) if state.exists else ([], [], [])
+        waiting = sorted([*zip(times, ids, strict=True), *([] if state.hasTimedOut else arrived(frames))])
+        mark = state.getCurrentWatermarkMs() / 1000
+        due = [x for x in waiting if x[0] <= mark]
+        waiting = waiting[len(due) :]
+        passed, recent = accept([t for t, _ in due], recent, most, seconds)
+        recent = [t for t in recent if t > mark - seconds]
+        if waiting or recent:
+            state.update((recent, [t for t, _ in waiting], [i for _, i in waiting]))
+            state.setTimeoutTimestamp(int(1000 * max(mark, waiting[0][0] if waiting else recent[-1] + seconds)) + 1)
+        elif state.exists:
+            state.remove()
+        if due:
+            yield rows(name, [i for _, i in due], passed)
+
+    slim = _timed(events.select(key, event_id, time), time)
+    if late is None:
+        return slim.groupBy(key).applyInPandasWithState(at_once, schema, "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    state = f"recent array<double>, times array<double>, ids array<{kinds[event_id]}>"
+    return slim.withWatermark(time, late).groupBy(key).applyInPandasWithState(in_order, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def merge_batches(read_target: Callable[[], DataFrame], write_target: Callable[[DataFrame], None], key: list[str], period: str, mode: str = "late_ok", lag: int = 0) -> Callable[[DataFrame, int], None]:

@@ -71,6 +71,46 @@ def test_rate_limit_in_batch_and_stream(spark, tmp_path, sf):
     assert drain(jobs.limit_rate_stream(live, "user_id", "ts", "event_id", 2, 3600), "limited").count() == n
 
 
+def test_waiting_rate_limit_equals_the_batch(spark, tmp_path, sf):
+    """Thirds of the events arrive out of order; a row far ahead lets the watermark pass them all, and the query ends by itself."""
+    import datetime
+
+    live, events, n = stream(spark, tmp_path, sf)
+    last = events.agg(F.max("ts")).first()[0]
+    ahead = spark.createDataFrame([(-1, last + datetime.timedelta(days=900))], "event_id long, ts timestamp_ntz")
+    ahead = events.limit(1).drop("event_id", "ts").crossJoin(ahead).select(*[F.col(c).cast(t) for c, t in events.dtypes])
+    ahead.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = drain(jobs.limit_rate_stream(live, "user_id", "ts", "event_id", 2, 3600, late="400 days"), "waited")
+    want = jobs.limit_rate(events, "user_id", "ts", "event_id", 2, 3600)
+    rows = lambda df: sorted((r.user_id, r.event_id, r.accepted) for r in df.collect() if r.event_id != -1)
+    assert rows(got) == rows(want) and len(rows(want)) == n
+
+
+def test_batch_rate_limit_matches_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    events = [(rng.choice([1, 1, 1, 2, None]), i, None if i % 50 == 49 else rng.randrange(3000)) for i in range(600)]
+    df = spark.createDataFrame(events, "u int, i int, s int").selectExpr("u", "i", "timestamp_seconds(s) AS t")
+    want = {i: False for _, i, s in events if s is None}
+    for u in (1, 2, None):
+        own = sorted((s, i) for v, i, s in events if v == u and s is not None)
+        want |= dict(zip([i for _, i in own], jobs.accept([float(s) for s, _ in own], [], 3, 60.0)[0], strict=True))
+    got = {r.i: r.accepted for r in jobs.limit_rate(df, "u", "t", "i", 3, 60.0).collect()}
+    assert got == want
+
+
+def test_upsert_is_the_same_on_every_run(spark):
+    from terraloom.operators import star
+
+    target = spark.createDataFrame([(1, 5, "a"), (2, 5, "b")], "k int, p int, v string")
+    new = spark.createDataFrame([(1, 6, "x"), (1, 6, "y"), (1, 7, "c"), (3, 6, "d"), (3, 6, "e"), (2, 5, "late")], "k int, p int, v string")
+    for parts in (1, 5):
+        out = star.upsert(target, new.repartition(parts), ["k"], "p")
+        assert {tuple(r) for r in out.collect()} == {(1, 7, "c"), (2, 5, "b"), (3, 6, "e")}
+    assert star.upsert(target.limit(0), new, ["k"], "p").count() == 3
+
+
 def test_merge_batches(spark):
     target = {"df": spark.createDataFrame([(1, 1, "a")], "k int, p int, v string")}
 
