@@ -63,11 +63,10 @@ def dictionary(docs: DataFrame, text_col: str = "text", rare: int = RARE) -> lis
     return sorted(r.w for r in counts.where(F.col("n") >= least).select("w").collect())
 
 
-def _features(c: Column, before: Column, after: Column, path: Column, words: list[str]) -> dict[str, Column]:
+def _features(c: Column, known: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
+    """known: how many letters of the candidate stand in words of the dictionary."""
     n = F.length(c).cast("double")
     share = lambda pattern: F.length(F.regexp_replace(c, pattern, "")) / n
-    letters = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]{3,}"), 0)
-    known = F.filter(letters, lambda w: w.isin(words) if words else F.lit(False))
     all_letters = F.length(F.regexp_replace(c, r"[^A-Za-z]", ""))
     one = lambda x: F.when(x, 1.0).otherwise(0.0)
     path = F.coalesce(path, F.lit(""))
@@ -79,7 +78,7 @@ def _features(c: Column, before: Column, after: Column, path: Column, words: lis
         "capitals": share(r"[^A-Z]"),
         "marks": share(r"[A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
-        "dictionary": F.when(all_letters > 0, F.length(F.array_join(known, "")) / all_letters).otherwise(0.0),
+        "dictionary": F.when(all_letters > 0, known / all_letters).otherwise(0.0),
         "path_depth": (F.length(path) - F.length(F.regexp_replace(path, "/", ""))).cast("double"),
         "path_test": one(path.rlike(r"(?i)test|example|fixture|sample|mock")),
         "credential": one(before.rlike(CREDENTIAL)),
@@ -123,10 +122,14 @@ def with_candidates(df: DataFrame, text_col: str = "text", path_col: str | None
     # Arrays are arguments of the functions, not looked up within them: Catalyst moves an expression that is used once into the lambda, for every element.
     n = F.size("values")
     around = F.zip_with(F.slice("gaps", 1, n), F.slice("gaps", F.lit(2), n), lambda x, y: F.struct(F.substring(x, F.greatest(F.lit(1), F.length(x) - (CONTEXT - 1)), F.lit(CONTEXT)).alias("before"), F.substring(y, 1, 2).alias("after")))
+    # The dictionary goes into one SQL text: a column of its own for each of its words would take the driver long.
+    listed = ",".join(f"'{w}'" for w in words or ["-"])
+    known = F.expr(f"transform(values, v -> length(array_join(filter(regexp_extract_all(lower(v), '[a-z]{{3,}}', 0), w -> w IN ({listed})), '')))")
     placed = F.zip_with("values", _starts(F.col("gaps"), F.col("values")), lambda v, s: F.struct(v.alias("value"), s.alias("start")))
+    placed = F.zip_with(placed, known, lambda p, k: F.struct(p["value"].alias("value"), p["start"].alias("start"), k.alias("known")))
 
     def look(c: Column, at: Column) -> Column:
-        made = _features(c["value"], at["before"], at["after"], path, words or [])
+        made = _features(c["value"], c["known"], at["before"], at["after"], path)
         return F.struct(c["value"].alias("value"), c["start"].alias("start"), *[x.cast("double").alias(k) for k, x in made.items()])
 
     return d.select("row", "gaps", F.zip_with(placed, around, look).alias("found"))
@@ -202,7 +205,7 @@ def labelled(docs: DataFrame, words: list[str], path_col: str | None = None, fou
     return parts[0].unionByName(parts[1]).unionByName(made)
 
 
-def fit(findings: DataFrame, trees: int = 20, depth: int = 7, seed: int = 7) -> tuple[list, list]:
+def fit(findings: DataFrame, trees: int = 12, depth: int = 5, seed: int = 7) -> tuple[list, list]:
     """Trees as nested tuples (feature, threshold, left, right) with the share of secrets at the leaves. findings: FEATURES and label; a bounded sample."""
     sample = cut(findings.select(*FEATURES, "label").orderBy("label", *FEATURES).coalesce(1))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
