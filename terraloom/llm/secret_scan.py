@@ -44,7 +44,7 @@ CANDIDATE = rf"{_GIVEN}[^\s\"'`<>,;]{{6,}}|{_ADDRESS}[^\s/@\"'<>]{{3,64}}@|(?<![
 LEAD = rf"^(?:{_GIVEN}(?=[^\s\"'`<>,;]{{6}})|{_ADDRESS})"
 CREDENTIAL = rf"(?i){_NAME}|\bkey\b"
 ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35})$"
-RARE = 10_000
+RARE = 100
 MOST_LABELLED = 2000
 PLANTED = 60
 CONTEXT = 64
@@ -55,7 +55,7 @@ FEATURES = ["length", "transitions", "digits", "capitals", "marks", "distinct",
 def dictionary(docs: DataFrame, text_col: str = "text", rare: int = RARE) -> list[str]:
     """The letter runs (3 or more letters) of at least one in `rare` documents and of two at least.
 
-    Documents hold at most `rare` times their mean number of distinct runs of these, whatever the number of documents; usual texts have some ten thousand.
+    Documents hold at most `rare` times their mean number of distinct runs of these, whatever the number of documents; the corpora tried have some four thousand.
     """
     runs = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(r"[a-z]{3,}"), 0))
     least = max(2, docs.count() / rare)
