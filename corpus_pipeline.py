@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. All but the last
 return the columns of documents; the last returns a row for each piece of a document in a training sequence.
+
+Defined cases, for every stage: null, empty and wordless texts fail the quality rules, so later stages see none of them, though each takes
+them; a null doc_id, lang or source is a value like any other; repeated rows stay or go together; very long texts are handled whole; ties are
+decided as the operators state; an empty table gives an empty one; extra columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terraloom.llm import mixing, near_dedup, packing, quality_rules, secret_scan
-from terraloom.llm.common import stage, table
+from terraloom.llm.common import Scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written and read again, as in production."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's result is written and read again, as in production, and its input then deleted."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for i, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stage(docs, name.replace(" ", "-"))
+            room = Scratch(spark)
+            docs = room.stage(docs, name.replace(" ", "-"))
+            if last is not None:
+                last.close()
+            last = room
     return docs

@@ -106,3 +106,10 @@ def pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about `most` bytes of a string or binary column, so that Python objects made of them stay bounded; one row is the largest unit."""
+    for batch in batches:
+        for i, j in pieces(utf8(batch.column(column))[1], most):
+            yield batch.slice(i, j - i)

@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import cut, small, table
+from terraloom.llm.common import cut, slices, table
 
 MIN_PAGES = 5
 LOW = 0.2
 DECAY = 0.9
 PRIOR = 1.0
+MOST_BROADCAST = 16 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
@@ -191,7 +192,7 @@ def _cells(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name := host(url):
@@ -242,14 +243,16 @@ def main_texts(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -
     noise = cut(noise.groupBy("host").agg(F.collect_set("path").alias("low"), F.collect_set("block").alias("repeated")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             ids, urls, htmls, lows, repeats = (c.to_pylist() for c in batch.columns)
             texts = [extract(page, set(paths or ()), set(hashes or ())) for page, paths, hashes in zip(htmls, lows, repeats, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     name = F.lower(F.regexp_extract(F.col("url"), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#\s]*@)?([^/?#\s:@]+)", 1))
-    joined = slim.join(small(noise, 20_000), name == F.col("host"), "left").select("page_id", "url", "html", "low", "repeated")
+    # Broadcast by bytes: a host's row holds as many paths as its templates have.
+    held = noise.agg(F.sum(F.length(F.array_join("low", "")) + 8 * F.size("repeated"))).first()[0] or 0
+    joined = slim.join(F.broadcast(noise) if held <= MOST_BROADCAST else noise, name == F.col("host"), "left").select("page_id", "url", "html", "low", "repeated")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -13,7 +13,8 @@ Other lossless frames are decoded symbol by symbol.
 
 Defined cases of `text_to_avi`: a null text is empty, and an empty text is one frame of bytes 255; the payload is
 padded with bytes 255 (never part of UTF-8) to a multiple of 576. Of `clips`: null and broken media give one row
-with clip null and an error. Repeated rows are handled one by one; an empty table gives an empty result; extra
+with clip null and an error, as do headers that promise more samples than their data can hold, and no frames give no row; a very long
+media value is one unit of work; equal differences at a shot's threshold start none. Repeated rows are handled one by one; an empty table gives an empty result; extra
 columns are not read.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import table
+from terraloom.llm.common import slices, table
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -38,6 +39,10 @@ SENSITIVITY = 3.0
 MEMORY = 16
 FLOOR = 0.1
 BINS = 16
+#: Lists within lists that a reader follows; files in use have three.
+NESTED = 16
+#: What decoding a broken image can raise.
+BROKEN = (ArithmeticError, LookupError, TypeError, ValueError, RecursionError, struct.error)
 
 # --- samples to lossless JPEG frames -----------------------------------------------------------------------------------
 
@@ -116,15 +121,17 @@ def read_avi(media: bytes) -> tuple[float, list[bytes]]:
         raise ValueError("no AVI file")
     rate, movi, index = 0.0, None, None
 
-    def walk(at: int, end: int) -> None:
+    def walk(at: int, end: int, depth: int = 0) -> None:
         nonlocal rate, movi, index
+        if depth > NESTED:
+            raise ValueError("lists nest too deep")
         while at + 8 <= end:
             name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
             body = at + 8
             if name == b"LIST" and media[body : body + 4] == b"movi":
                 movi = (body, min(body + size, end))
             elif name == b"LIST":
-                walk(body + 4, min(body + size, end))
+                walk(body + 4, min(body + size, end), depth + 1)
             elif name == b"avih" and not rate:
                 micro = struct.unpack_from("<I", media, body)[0]
                 rate = 1e6 / micro if micro else 0.0
@@ -231,6 +238,11 @@ def decode_jpeg(image: bytes) -> np.ndarray:
     scan = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
     end = image.rfind(b"\xff\xd9")
     data = image[at : end if end >= at else len(image)]
+    if not parts or not height or not width or any(not 1 <= f <= 4 for p in parts for f in p[1:3]):
+        raise ValueError("no such frame")
+    # A sample of a lossless image takes a bit at least, a block of 64 two bits: no header makes room for more than its data can fill.
+    if height * width > len(data) * (8 if kind == 0xC3 else 256 * max(p[1] * p[2] for p in parts)):
+        raise ValueError("more samples than data")
     if kind == 0xC3:
         return _lossless(data, codes[scan[parts[0][0]] >> 4], height, width, body[1 + 2 * body[0]], n, every)
     return _baseline(data, codes, quant, parts, scan, height, width, every)
@@ -348,7 +360,7 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "clip", "first_frame", "n_frames", "start_s", "end_s", "brightness", "error"]
         kinds = [pa.int64()] * 4 + [pa.float64()] * 3 + [pa.string()]
-        for batch in batches:
+        for batch in slices(batches, 1):
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rate, images = read_avi(value or b"")
@@ -356,7 +368,7 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
                     starts = shot_starts(frames)
                     ends = [*starts[1:], len(frames)]
                     rows = [(key, i, a, b - a, a / rate, b / rate, float(np.mean([f.mean() for f in frames[a:b]])), None) for i, (a, b) in enumerate(zip(starts, ends, strict=False))]
-                except (ValueError, KeyError, IndexError, struct.error) as e:
+                except BROKEN as e:
                     rows = [(key, None, None, None, None, None, None, str(e) or type(e).__name__)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -378,7 +390,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n, media = text_to_avi(text)

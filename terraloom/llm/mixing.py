@@ -12,7 +12,8 @@ number of buckets of a source finds the one bucket where the budget ends. Only t
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; sources
 whose words are 0 get target 0; null, non-positive and missing quality weights count as 1; rows with
 equal keys (repeated ids) are ordered by size and then arbitrarily, which changes no sum; an empty table
-gives an empty result. Extra columns are not read.
+gives an empty result; a very long text counts whole, and at the edge its first words are taken. Extra columns are not read, and
+pass through `mixed_documents` under any names.
 """
 
 from __future__ import annotations
@@ -109,14 +110,14 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, weights:
     Documents of which nothing is taken go. Ids must be unique here: the plan is joined back by doc_id.
     A part is its first words joined by single spaces, and n_chars, if there is one, follows the text.
     """
-    plan = mix(docs, quality, weights).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    each = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("_copy")
-    rows = rows.select("*", each).withColumn("_words", F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size")))
-    head = F.array_join(F.slice(F.filter(F.split("text", GAP), lambda x: x != ""), F.lit(1), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") < F.col("size"), head).otherwise(F.col("text"))
+    plan = mix(docs, quality, weights).where("taken > 0").select(F.col("doc_id").alias("id"), "size", "taken")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(plan, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    each = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy")
+    rows = rows.select("row", "size", "taken", each).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    head = F.array_join(F.slice(F.filter(F.split("row.text", GAP), lambda x: x != ""), F.lit(1), F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < F.col("size"), head).otherwise(F.col("row.text"))
     changed = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

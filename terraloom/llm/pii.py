@@ -30,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import bounded_sample, cut, pieces, table, utf8
+from terraloom.llm.common import bounded_sample, cut, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_LABELLED = 6000
 PRECISION = 0.98
-_SLICE = 4 << 20
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -258,18 +257,11 @@ class Boosted:
         return self
 
 
-def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut to about `_SLICE` bytes of the text column, so that Python objects stay bounded; one text is the largest unit."""
-    for batch in batches:
-        for i, j in pieces(utf8(batch.column(text))[1], _SLICE):
-            yield batch.slice(i, j - i)
-
-
 def train(docs: DataFrame, most: int = MOST_LABELLED) -> Boosted:
     """Fit and calibrate on a bounded sample of distantly labelled candidates and on constructed ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _slices(batches, 0):
+        for texts in slices(batches, 0):
             rows: list[list[float]] = []
             labels: list[int] = []
             for text in texts.column(0).to_pylist():
@@ -332,7 +324,7 @@ def find(docs: DataFrame, model: Boosted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "redacted"]
         join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-        for batch in _slices(batches, 1):
+        for batch in slices(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""

@@ -8,8 +8,8 @@ gets none, and then the base rules decide alone.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null stratum is a stratum
 of its own; labels that are null, or of unknown documents, count for nothing; repeated labels of a
-document count once (the worst wins); repeated rows are judged one by one; extra columns pass through
-`filter_documents` and are not read.
+document count once (the worst wins); repeated rows are judged one by one; a very long text is one row; scores at a cutoff
+pass; extra columns of any name pass through `filter_documents` and are not read.
 """
 
 from __future__ import annotations
@@ -168,10 +168,10 @@ def filter_documents(docs: DataFrame, labels: DataFrame, stratum_col: str = "lan
     slim = docs.select("doc_id", F.col(stratum_col).alias("lang"), "text")
     metrics = stage(with_metrics(slim).drop("text"), "quality")
     cutoffs = calibrate(metrics, labels, risk=risk, delta=delta)
-    judged = with_verdict(with_metrics(docs, prefix="_q_"), cutoffs, stratum_col, prefix="_q_")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(stratum_col).alias("lang"), "text")
+    judged = with_verdict(with_metrics(whole, prefix="_q_"), cutoffs, prefix="_q_")
     # An explode rather than a filter: Catalyst would push a filter below the steps and repeat them inside it.
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return judged.select(F.explode(F.when(F.col("_q_kept"), F.array(row))).alias("row")).select("row.*")
+    return judged.select(F.explode(F.when(F.col("_q_kept"), F.array("whole"))).alias("row")).select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ where a digest is frequent; nothing is gathered but the repeats of one document.
 
 Defined cases: null and empty texts have no chunks; rows with the same doc_id are one document, the first of a digest
 that it repeats within itself stays; a null doc_id never is the least unless all are null; an empty table gives an
-empty result; extra columns pass through `without_repeats` and are not read.
+empty result; a very long text is cut like any other; of equal chunks the one in the
+least document stays; extra columns of any name pass through `without_repeats` and are not read.
 """
 
 from __future__ import annotations
@@ -143,11 +144,12 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
         return text.combine(spans, one)
 
-    spans = repeated_passages(docs, min_bytes).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct(F.col("start_byte").alias("a"), F.col("end_byte").alias("b"))).alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut_out("text", "_spans"))
-    out = joined.withColumn("text", text).drop("_id", "_spans")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    spans = repeated_passages(docs, min_bytes).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct(F.col("start_byte").alias("a"), F.col("end_byte").alias("b"))).alias("spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(spans, F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut_out("row.text", "spans"))
+    rows = rows.select("row", text.alias("text"))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
