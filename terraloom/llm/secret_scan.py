@@ -122,9 +122,10 @@ def with_candidates(df: DataFrame, text_col: str = "text", path_col: str | None
     # Arrays are arguments of the functions, not looked up within them: Catalyst moves an expression that is used once into the lambda, for every element.
     n = F.size("values")
     around = F.zip_with(F.slice("gaps", 1, n), F.slice("gaps", F.lit(2), n), lambda x, y: F.struct(F.substring(x, F.greatest(F.lit(1), F.length(x) - (CONTEXT - 1)), F.lit(CONTEXT)).alias("before"), F.substring(y, 1, 2).alias("after")))
-    # The dictionary goes into one SQL text: a column of its own for each of its words would take the driver long.
-    listed = ",".join(f"'{w}'" for w in words or ["-"])
-    known = F.expr(f"transform(values, v -> length(array_join(filter(regexp_extract_all(lower(v), '[a-z]{{3,}}', 0), w -> w IN ({listed})), '')))")
+    # The dictionary is one literal, an array made by constant folding: a literal for each word would weigh on the driver with every rule of the optimiser.
+    listed = F.split(F.lit(" ".join(words or ["-"])), " ")
+    runs = lambda v: F.regexp_extract_all(F.lower(v), F.lit(r"[a-z]{3,}"), 0)
+    known = F.transform("values", lambda v: F.length(F.array_join(F.filter(runs(v), lambda w: F.array_contains(listed, w)), "")))
     placed = F.zip_with("values", _starts(F.col("gaps"), F.col("values")), lambda v, s: F.struct(v.alias("value"), s.alias("start")))
     placed = F.zip_with(placed, known, lambda p, k: F.struct(p["value"].alias("value"), p["start"].alias("start"), k.alias("known")))
 
