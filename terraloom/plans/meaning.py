@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terraloom.operators import meaning
+from terraloom.functions import text as tx
+from terraloom.operators import corpus, meaning
 from terraloom.plans.base import query, read
 
 _WORD = lambda w: "".join(c if c.isalnum() or c == " " else "\\" + c for c in w)
@@ -75,3 +76,12 @@ def f23_iso2_names(spark, sf_dir):
     customers, nations = read(spark, sf_dir, "customer", "nation")
     coded = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.upper(F.substring("n_name", 1, 2)).alias("code"))
     return coded.join(F.broadcast(names), "code", "left").select("c_custkey", "code", "country")
+
+
+@query()
+def d1_three_keys(spark, sf_dir):
+    title = tx.normalize_title(meaning.page_title(F.col("html")))
+    host = F.lower(F.regexp_extract("url", r"//(?:www\.)?([^/?#]*)", 1))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.nullif(tx.normalize_url(F.col("url")), F.lit("")).alias("url"), F.when(title != "", F.concat_ws("|", title, host)).alias("title"), meaning.page_text("html").alias("text"))
+    rows = rows.select("page_id", "url", "title", F.when(F.col("text") != "", F.md5("text")).alias("body"))
+    return corpus.greedy_dedup(rows, "page_id", ["url", "title", "body"])

@@ -102,3 +102,25 @@ def test_every_country_asked_for_counts(spark):
     t = metrics.MetricTable("m", "country", "year", "value")
     rows = spark.createDataFrame([(f"c{i}",) for i in range(50)], f"`{t.geo}` string")
     assert metrics.select_rows(rows, t, countries=[f"c{i}" for i in range(40)]).count() == 40
+
+
+def test_three_key_deduplication_in_order(spark, tmp_path):
+    """A row is judged by url, then title on its host, then body, against rows that are no duplicates themselves."""
+    from terraloom.plans import registry
+
+    body = lambda t, x: f"<title>{t}</title><p>{x}</p>"
+    rows = [
+        (1, "https://a.org/x", body("One", "first")),
+        (2, "https://www.a.org/x/?utm_source=y", body("Two", "second")),
+        (3, "https://a.org/y", body("ONE!", "third")),
+        (4, "https://b.org/y", body("One", "fourth")),
+        (5, "https://c.org/z", body("Five", "fourth")),
+        (6, "https://d.org/z", body("Two", "second")),
+        (7, "https://d.org/q", body("two", "seventh")),
+        (8, None, None),
+        (9, None, None),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r.page_id: r.duplicate_of for r in registry.queries()["d1_three_keys"](spark, str(tmp_path)).collect()}
+    assert out == {1: None, 2: 1, 3: 1, 4: None, 5: None, 6: None, 7: 6, 8: None, 9: None}
+    # Pages without url, title and text match nothing; page texts hold the title element's words, so 5 differs from 4 in its body.
