@@ -199,7 +199,8 @@ def labelled(docs: DataFrame, words: list[str], path_col: str | None = None, fou
     if found is None:
         # Staged, as an explode of an array that is not would make the array again for every element.
         found = stage(with_candidates(docs, path_col=path_col, words=words).select("found"), "findings")
-    own = found.select(F.explode("found").alias("f")).select("f.*").withColumn("label", evidence()).where("label IS NOT NULL")
+    # Checkpointed: a filter on a hash of many renamed columns has a constraint for every set of their names, which fills the driver's heap.
+    own = cut(found.select(F.explode("found").alias("f")).select("f.*").withColumn("label", evidence()).where("label IS NOT NULL"))
     parts = [bounded_sample(own.where(F.col("label") == y), F.xxhash64("value", *FEATURES), MOST_LABELLED) for y in (0.0, 1.0)]
     rows = docs.sparkSession.createDataFrame(planted(words), "text string, path string, want string, label double")
     made = cut(with_candidates(rows, path_col="path", words=words).select("row.label", "row.want", "found")).select("label", "want", F.explode("found").alias("f")).where("f.value = want").select("f.*", "label")
