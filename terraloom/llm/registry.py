@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import html_main, media, mixing, near_dedup, packing, pii, quality_rules, secret_scan, substring_dedup, token_store
+from terraloom.llm import collocations, html_main, media, merkle, mixing, near_dedup, packing, pii, quality_rules, run_index, secret_scan, substring_dedup, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_huffman_tokens": token_store.op8_huffman_tokens,
         "op9_main_text": html_main.op9_main_text,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_run_index": run_index.op11_run_index,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.OP1_SQL}
+    return {"op1_source_mixing": mixing.OP1_SQL, "op12_merkle_manifest": merkle.OP12_SQL, "op13_collocations": collocations.OP13_SQL}
