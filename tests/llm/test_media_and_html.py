@@ -122,3 +122,51 @@ def test_copies_of_a_page_are_no_evidence(spark):
     pages = [(i, f"https://copies.example/{i}", page(max(0, i - 99))) for i in range(120)]
     out = {r.page_id: r.text for r in html_main.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert out == {i: f"Text of article {(n := max(0, i - 99))}, {'word ' * n}".strip() for i in range(120)}
+
+
+LONG = "reader says a lot here " * 60
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-section", "site-footer", "newsletter-box", "reader-comments", "ad-slot", "feedback", "cookieNotice", "side-bar", "related_posts", "share-buttons", "post-comments", "advert2"])
+def test_noise_goes_however_long(name):
+    short = f"<div class='{name}'><p>no</p></div>"
+    for noise in (short, short.replace("no", LONG), f"<section id='{name}'><article>{LONG}</article></section>"):
+        assert html_main.extract(f"<body><article><h1>T</h1><p>Main text</p></article>{noise}</body>", set()) == "T Main text"
+        assert html_main.extract(f"<body><div class=story><p>Main text</p></div>{noise.replace('article', 'div')}</body>", set()) == "Main text"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><form id=aspnetForm><div><h1>T</h1><p>Body of the page</p></div></form></body>", "T Body of the page"),
+        ("<body><p>Text</p><form><p>Your name</p></form></body>", "Text"),
+        ("<body><form action=/s><label>Search</label></form></body>", ""),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "so x=2 holds"),
+        ("<article><div class=article-header>By us</div><div class=entry-content><p>x</p></div><div class=no-comments>y</div></article>", "By us x y"),
+        ("<p title='a > b' data-x=\"<p>\">x < y <b a=1>z</b></p>", "x < y z"),
+        ("<p>a</x></p></p>b<svg><p>c", "a b c"),
+    ],
+)
+def test_forms_marks_and_names(page, text):
+    assert html_main.extract(page, set()) == text
+
+
+def test_time_and_memory_are_linear():
+    import time
+    import tracemalloc
+
+    pages = ["<a b " * 200_000, "<a '" * 250_000, "<a b=\"" * 150_000, "<!--" * 250_000, "<svg>" * 200_000, "</x>" * 200_000 + "<p>end", "<div>" * 50_000 + "x" + "</b></q></div>" * 50_000, "<p>" + "<" * 500_000, "= " * 500_000, "<a = " * 200_000, "&" * 500_000, "<div class='a b c'>" * 50_000 + "deep"]
+    for page in pages:
+        began = time.time()
+        html_main.tree_rows(page)
+        html_main.extract(page, set())
+        assert time.time() - began < 6, page[:20]
+    tracemalloc.start()
+    html_main.tree_rows("<div class=some-name>" * 50_000 + "x")
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_numbers_in_names_do_not_part_elements():
+    one, two = (html_main.tree_rows(f"<div id='post-{n}' class='x{n} c-{h}'><p>text {n}</p></div>") for n, h in ((1, "12ab34cd"), (77, "99ff00aa")))
+    assert [r[1] for r in one if r[3]] == [r[1] for r in two if r[3]]
