@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -93,3 +95,36 @@ def catalogue(spark: SparkSession, database: str | None = None) -> DataFrame:
     """A row for each column of each table that the session's catalogue knows."""
     rows = [(t.name, c.name, c.dataType, c.nullable) for t in spark.catalog.listTables(database) for c in spark.catalog.listColumns(t.name)]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean")
+
+
+def rebuild(df: DataFrame, path: str, parts: Sequence[str], id_col: str) -> None:
+    """Replace the rows of df's ids in a folder partitioned by `parts`; all other rows stay, and a rerun, also after a failure midway, gives the same folder.
+
+    Only partitions that df belongs to, or that hold an old row of one of its ids, are rewritten (dynamic partition overwrite). What they will hold is written to the
+    shared folder of checkpoints first, as a job cannot read what it overwrites; each partition is replaced by files that hold it whole, so a run that fails between two
+    of them leaves old ones that the next run finds again.
+    """
+    spark = df.sparkSession
+    from terraloom.operators.state import cut
+
+    new = cut(df)
+    try:
+        old = spark.read.schema(df.schema).parquet(path)
+        old.limit(1).count()
+    except AnalysisException:
+        new.write.mode("overwrite").partitionBy(*parts).parquet(path)
+        return
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in parts])
+    ids = new.select(id_col).distinct()
+    moved = old.join(ids, id_col, "left_semi").select(*parts).distinct()
+    touched = new.select(*parts).distinct().unionByName(moved).distinct()
+    kept = old.alias("a").join(touched.alias("b"), same("a", "b"), "left_semi").join(ids, id_col, "left_anti")
+    whole = cut(kept.select(*df.columns).unionByName(new))
+    # A partition that loses its last row is removed from the listing by hand, for the writer only replaces what it has rows for.
+    gone = touched.alias("a").join(whole.select(*parts).distinct().alias("b"), same("a", "b"), "left_anti").collect()
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    fs = spark._jvm.org.apache.hadoop.fs
+    for row in gone:
+        at = "/".join(f"{c}={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(row[c])) if row[c] is not None else '__HIVE_DEFAULT_PARTITION__'}" for c in parts)
+        target = fs.Path(f"{path}/{at}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
