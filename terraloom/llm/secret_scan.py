@@ -1,14 +1,15 @@
 """Secret scanning with a random forest against false positives (operator 7, DataFrame functions only).
 
 Generators, in one pattern: the value assigned to a credential name, whatever its characters, from 6 on; the password in
-the address of a URL; and runs of 16 or more key characters that hold a digit, a padding of "=" at their end included.
+the address of a URL; a value with a digit that a sentence gives ("the password is ...") or that follows a client's -p; and runs of 16 or
+more key characters that hold a digit, with dotted runs that follow and a padding of "=" at their end.
 Splitting a text at its candidates gives the context on both sides, so every step stays within the row: no candidate
 is shuffled.
 
 Features of a candidate: length; character transitions (runs of character kinds for each character); shares of digits,
 capitals and marks; distinct characters for each character; share of letters in words of the corpus dictionary (all
 letter runs in at least one of `RARE` documents, two at least; corpora of any size have about as many); depth and test words
-of the path; and, from the words around, a credential name, an assignment, a quote, an address, words of examples,
+of the path; and, from the words around, a credential name, its assignment right before, any assignment, a quote, an address, words of examples,
 and words of digests, versions and orders.
 
 The forest (Spark ML) is fitted on labelled findings: those given, or else planted ones, which are secrets or not by
@@ -36,20 +37,27 @@ from pyspark.sql import functions as F
 
 from terraloom.llm.common import bounded_sample, cut, stage, table
 
-_NAME = r"(?:secret|token|passw|passwd|pwd|api.?key|access.?key|private.?key|credential|bearer|auth)"
+_NAME = r"(?:secret|token|passw(?:or[dt]|d)|passphrase|passcode|pass(?![A-Za-z])|pwd|(?<![A-Za-z])pw(?![A-Za-z])|api.?key|access.?key|private.?key|credential|bearer|auth)"
+_VALUE = r"[^\s\"'`<>,;]"
 _GIVEN = rf"(?i:{_NAME}[\w-]{{0,32}}+[\"'`]?[\x20\t]{{0,4}}(?:=>|:=|[:=])[\x20\t]{{0,4}}(?:Bearer[\x20])?[\"'`]?)"
 _ADDRESS = r"://[^\s/@:\"'<>]{1,64}:"
-CANDIDATE = rf"{_GIVEN}[^\s\"'`<>,;]{{6,}}|{_ADDRESS}[^\s/@\"'<>]{{3,64}}@|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{16,}}={{0,2}}"
+#: A credential that a sentence names, and the password that follows a database client's -p; both hold a digit.
+_SAID = rf"(?i:{_NAME}[\w-]{{0,32}}+\x20is:?\x20[\"'`]?)(?={_VALUE}{{0,128}}[0-9])"
+_CLIENT = rf"(?<![\w-])-p(?=[^\s\"'`<>,;=:/]{{0,64}}[0-9])"
+CANDIDATE = (
+    rf"{_GIVEN}{_VALUE}{{6,}}|{_SAID}{_VALUE}{{5,}}[^\s\"'`<>,;.]|{_ADDRESS}[^\s/@\"'<>]{{3,64}}@|{_CLIENT}[^\s\"'`<>,;=:/]{{6,}}"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}(?:\.[A-Za-z0-9_-]{16,}){0,4}={0,2}"
+)
 #: What of a match stands before the value.
-LEAD = rf"^(?:{_GIVEN}(?=[^\s\"'`<>,;]{{6}})|{_ADDRESS})"
-CREDENTIAL = rf"(?i){_NAME}|\bkey\b"
+LEAD = rf"^(?:{_GIVEN}(?={_VALUE}{{6}})|{_SAID}|{_ADDRESS}|-p(?=[^\s\"'`<>,;=:/]{{6}}))"
+CREDENTIAL = rf"(?i){_NAME}|\bkey\b|(?<![\w-])-p$"
 ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35})$"
 RARE = 100
 MOST_LABELLED = 2000
 PLANTED = 60
 CONTEXT = 64
 BLOCK = 256
-FEATURES = ["length", "transitions", "digits", "capitals", "marks", "distinct", "dictionary", "path_depth", "path_test", "credential", "assigned", "quoted", "address", "example", "counted"]
+FEATURES = ["length", "transitions", "digits", "capitals", "marks", "distinct", "dictionary", "path_depth", "path_test", "credential", "given", "assigned", "quoted", "address", "example", "counted"]
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", rare: int = RARE) -> list[str]:
@@ -82,11 +90,12 @@ def _features(c: Column, known: Column, before: Column, after: Column, path: Col
         "path_depth": (F.length(path) - F.length(F.regexp_replace(path, "/", ""))).cast("double"),
         "path_test": one(path.rlike(r"(?i)test|example|fixture|sample|mock")),
         "credential": one(before.rlike(CREDENTIAL)),
-        "assigned": one(before.rlike(r"(?:=|:|=>)[\x20\t]*(?:Bearer[\x20])?[\"'`]?$")),
+        "given": one(before.rlike(rf"(?:{_GIVEN}|(?i:{_NAME}[\w-]{{0,32}}+\x20is:?\x20[\"'`]?)|(?<![\w-])-p|://[^\s/@]*:)$")),
+        "assigned": one(before.rlike(r"(?:(?:=|:|=>)[\x20\t]*(?:Bearer[\x20])?[\"'`]?|(?<![\w-])-p)$")),
         "quoted": one(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
         "address": one(before.rlike(r"(?:://|www\.)[^\x20\t\n]*$") & ~(before.rlike(r"://[^\x20/@]*:$") & after.startswith("@"))),
         "example": one(F.concat(near, c).rlike(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|<|\$\{")),
-        "counted": one(near.rlike(r"(?i)\b(?:sha-?[0-9]*|md5|commit|checksum|digest|hash|uuid|guid|isbn|order|invoice|version|rev|revision|phone|card|id|no)\b[^A-Za-z0-9]{0,3}$")),
+        "counted": one(near.rlike(r"(?i)\b(?:sha-?[0-9]*|md5|commit|checksum|digest|hash|uuid|guid|isbn|order|invoice|version|rev|revision|phone|card|id|no|base64)\b[^A-Za-z0-9]{0,3}$")),
     }
 
 
@@ -151,7 +160,7 @@ def planted(words: list[str], n: int = PLANTED, seed: int = 7) -> list[tuple[str
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
     word = lambda: rng.choice(words)
     prose = lambda k: " ".join(word() for _ in range(k))
-    name = lambda: rng.choice(["token", "api_key", "secret", "password", "API_KEY", "accessKey", "client_secret", "auth_token", "DB_PASSWORD", "Credential", "private-key", "passwd"])
+    name = lambda: rng.choice(["token", "api_key", "secret", "password", "API_KEY", "accessKey", "client_secret", "auth_token", "DB_PASSWORD", "Credential", "private-key", "passwd", "DB_PASS", "pass", "pw", "passphrase"])
 
     def key() -> str:
         made = rng.choice([lambda: pick(hexa, 32, 64), lambda: pick(hexa.upper(), 32, 40), lambda: pick(alnum, 16, 48), lambda: pick(alnum + "+/", 24, 64) + rng.choice(["", "=", "=="]), lambda: pick(alnum + "_-", 20, 40)])()
@@ -173,6 +182,11 @@ def planted(words: list[str], n: int = PLANTED, seed: int = 7) -> list[tuple[str
         (1.0, lambda v: f"Authorization: Bearer {v}", key),
         (1.0, lambda v: f"{rng.choice(['postgres', 'https', 'amqp'])}://{word()}:{v}@{word()}.example.org/{word()}", password),
         (1.0, lambda v: f"the {rng.choice(['token', 'api key', 'secret', 'password'])} is {v}", key),
+        (1.0, lambda v: rng.choice(["{n}: {v}", "Authorization: Bearer {v}", "cookie {v}", "{n}={v}"]).format(n=name(), v=v), lambda: ".".join(["eyJ" + pick(alnum, 16, 24) + "9", pick(alnum + "_-", 30, 60), pick(alnum + "_-", 30, 43)])),
+        (1.0, lambda v: f"{rng.choice(['mysql -u root', 'mysqldump -h db', 'mariadb -u app'])} -p{v} {word()}", lambda: f"{rng.randint(0, 9)}{password()}".replace(":", "").replace("=", "")),
+        (1.0, lambda v: f"{rng.choice(['my', 'the', 'our'])} {rng.choice(['password', 'passphrase', 'pass', 'pwd', 'api key', 'secret'])} is {v}", lambda: rng.choice([lambda: "-".join(word() for _ in range(3)) + f"-{rng.randint(1, 99)}", lambda: f"{password()[:-1].rstrip('.')}{rng.randint(1, 9)}"])()),
+        (0.0, lambda v: f"{rng.choice(['ssh', 'nc', 'tool'])} -p{v} {word()}", lambda: pick(string.digits, 6, 8)),
+        (0.0, lambda v: f"{rng.choice(['data:image/png', 'data:font/woff2', 'src=data:image/gif'])};base64,{v}", lambda: f"{rng.randint(0, 9)}{pick(alnum + '+/', 30, 160)}"),
         (0.0, lambda v: f"{rng.choice(['commit', 'sha256', 'md5', 'checksum:', 'digest', 'rev', 'uuid'])} {v}", lambda: pick(hexa, 32, 64)),
         (0.0, lambda v: f"https://{word()}.example/{word()}/{v}", lambda: pick(hexa, 20, 40)),
         (0.0, lambda v: f"{rng.choice(['order', 'card', 'invoice', 'no', 'isbn', 'account'])} {v}", lambda: pick(string.digits, 16, 20)),
