@@ -47,6 +47,16 @@ _GAP = _BORDER.copy()
 _GAP[[0x20, 0x09]] = True
 
 
+def _array(values: np.ndarray) -> pa.Array:
+    """One binary value: the items' width and the compressed numbers, for tables and shuffles that compress less."""
+    raw = np.ascontiguousarray(values)
+    return pa.array([raw.dtype.str[1:].encode() + len(raw.data.tobytes()).to_bytes(8, "little") + pa.compress(raw.data.tobytes(), "zstd", asbytes=True)], pa.binary())
+
+
+def _numbers(value: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(value[10:], int.from_bytes(value[2:10], "little"), "zstd", asbytes=True), value[:2].decode())
+
+
 def sequence(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The distinct words of texts laid end to end, and their ids from 1 with a 0 at borders and both ends."""
     gap = _GAP[data]
@@ -80,7 +90,7 @@ def _make_shards(most: int):
             counts = np.bincount(ids, minlength=len(words) + 1)[1:]
             made += 1
             ends = pa.array([0, len(words)], pa.int32())
-            columns = [pa.array([(part << 32) + made]), pa.array([lang], pa.string()), pa.ListArray.from_arrays(ends, words.cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())), pa.array([ids.tobytes()], pa.binary())]
+            columns = [pa.array([(part << 32) + made]), pa.array([lang], pa.string()), pa.ListArray.from_arrays(ends, words.cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())), _array(ids)]
             return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "counts", "ids"])
 
         for batch in batches:
@@ -165,15 +175,11 @@ def _by_rows(n: int, lo: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.nd
     return out
 
 
-def _array(values: np.ndarray) -> pa.Array:
-    return pa.array([np.ascontiguousarray(values).tobytes()], pa.binary())
-
-
 def _index_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The FM-index of every shard (shard, ids, found: places and ids of frequent words), and its words as intervals."""
     for batch in batches:
         for shard, ids, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            t = np.frombuffer(ids, np.int32)
+            t = _numbers(ids)
             named = np.array([(x["place"], x["id"]) for x in found], np.int64).reshape(-1, 2)
             named = named[np.argsort(named[:, 0])]
             kind = np.uint16 if len(named) < 1 << 16 else np.int32
@@ -183,45 +189,47 @@ def _index_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = t[np.concatenate([[True], (t[1:] != 0) | (t[:-1] != 0)])]  # one 0 between pieces is enough
             if len(t) < 3:
                 continue
-            forward, backward = transform(t).astype(kind), transform(t[::-1]).astype(kind)
             size = np.bincount(t, minlength=len(named) + 1)
             lo = np.cumsum(size) - size
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), _array(forward), _array(backward), pa.array([kind().itemsize]), _array(np.stack([lo[1:], lo[1:], size[1:], named[:, 1]]))], ["shard", "forward", "backward", "width", "phrases"])
+            words = np.stack([lo[1:], lo[1:], size[1:], named[:, 1]])
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), _array(transform(t).astype(kind)), _array(transform(t[::-1]).astype(kind)), _array(words)], ["shard", "forward", "backward", "words"])
+
+
+def _extended(shard: int, bwt: np.ndarray, left: bool, lo: np.ndarray, back: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases one word longer than those given: shard, head, tail, n, and their intervals lo, back."""
+    index = Index(bwt)
+    near, far = (lo, back) if left else (back, lo)
+    of_row = _by_rows(len(bwt), near, size, ids)
+    which, new, count, other = index.extend(near, size, far)
+    met = of_row[new]  # the phrase without the word at the other end
+    keep = met >= 0
+    which, new, count, other, met = which[keep], new[keep], count[keep], other[keep], met[keep]
+    head, tail = (met, ids[which]) if left else (ids[which], met)
+    lo, back = (new, other) if left else (other, new)
+    for i in range(0, len(head), 1 << 17):
+        j = slice(i, i + (1 << 17))
+        arrays = [pa.array(np.full(len(head[j]), shard)), *(pa.array(np.ascontiguousarray(x[j])) for x in (head, tail, count, lo, back))]
+        yield pa.RecordBatch.from_arrays(arrays, ["shard", "head", "tail", "n", "lo", "back"])
+
+
+def _extend_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, bwt, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield from _extended(shard, _numbers(bwt), True, *_numbers(words).reshape(4, -1))
 
 
-def _extend_shard(left: bool):
-    """Phrases one word longer of every shard (shard, forward, backward, width, phrases): shard, head, tail, n, and their intervals lo, back."""
+def _extend_phrases(left: bool):
+    """found: lo, back, n and id of the frequent phrases of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, forward, backward, width, phrases in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kind = np.uint16 if width == 2 else np.int32
-                index = Index(np.frombuffer(forward if left else backward, kind))
-                lo, back, size, ids = np.frombuffer(phrases, np.int64).reshape(4, -1)
-                near, far = (lo, back) if left else (back, lo)
-                of_row = _by_rows(len(index.bwt), near, size, ids)
-                which, new, count, other = index.extend(near, size, far)
-                met = of_row[new]  # the phrase without the word at the other end
-                keep = met >= 0
-                which, new, count, other, met = which[keep], new[keep], count[keep], other[keep], met[keep]
-                head, tail = (met, ids[which]) if left else (ids[which], met)
-                lo, back = (new, other) if left else (other, new)
-                for i in range(0, len(head), 1 << 17):
-                    j = slice(i, i + (1 << 17))
-                    arrays = [pa.array(np.full(len(head[j]), shard)), *(pa.array(np.ascontiguousarray(x[j])) for x in (head, tail, count, lo, back))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["shard", "head", "tail", "n", "lo", "back"])
+            for shard, bwt, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = np.array([(x["lo"], x["back"], x["n"], x["id"]) for x in found], np.int64).reshape(-1, 4)
+                yield from _extended(shard, _numbers(bwt), left, *values[np.argsort(values[:, 0])].T)
 
     return run
 
 
-def _pack_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard, forward, backward, width, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            values = np.array([(x["lo"], x["back"], x["n"], x["id"]) for x in found], np.int64).reshape(-1, 4)
-            values = values[np.argsort(values[:, 0])]
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([forward], pa.binary()), pa.array([backward], pa.binary()), pa.array([width]), _array(values.T)], ["shard", "forward", "backward", "width", "phrases"])
-
-
 def with_ids(rows: DataFrame, room: Scratch, name: str) -> DataFrame:
     """rows, written, with a dense id: the place in the written part plus the rows of the parts before. One count for each part reaches the driver."""
     held = room.stage(rows.withColumn("id", F.monotonically_increasing_id()), name)
@@ -235,35 +243,54 @@ def with_ids(rows: DataFrame, room: Scratch, name: str) -> DataFrame:
     return held.join(before, part == F.col("part")).withColumn("id", F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "before")
 
 
-_INDEX = "shard long, forward binary, backward binary, width long, phrases binary"
+_LOCAL = "shard long, head long, tail long, n long, lo long, back long"
+
+
+def _pair(head: str, tail: str, ids: int) -> F.Column:
+    """Two ids of at most `ids` as one key: one number where both fit into it."""
+    return F.shiftleft(head, 32).bitwiseOR(F.col(tail)) if ids < 1 << 31 else F.struct(F.col(head).alias("head"), F.col(tail).alias("tail"))
 
 
 class Phrases:
     """Counts of all frequent phrases of a corpus, by number of words.
 
     totals: lang, n, all word occurrences. words: id, lang, word, f. by_length[k], k from 2: id, head, tail, f, head and tail being the
-    ids of the phrases of k - 1 words without the last and without the first word.
+    ids of the phrases of k - 1 words without the last and without the first word. Shards and indexes are deleted as soon as nothing reads them.
     """
 
     def __init__(self, docs: DataFrame, least: int = LEAST, depth: int = DEPTH, shard: int = SHARD):
-        room = Scratch(docs.sparkSession)
+        spark = docs.sparkSession
+        room, raw, built = Scratch(spark), Scratch(spark), Scratch(spark)
         texts = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
-        shards = room.stage(texts.mapInArrow(_make_shards(shard), "shard long, lang string, words array<string>, counts array<long>, ids binary"), "shards")
+        shards = raw.stage(texts.mapInArrow(_make_shards(shard), "shard long, lang string, words array<string>, counts array<long>, ids binary"), "shards")
         held = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("shard", "lang", (F.col("place") + 1).alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
         words = with_ids(held.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), room, "words")
         sums = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-        self.totals = sums.groupBy("lang").agg(F.sum("n").alias("n"))
+        self.totals = room.stage(sums.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         self.words = room.stage(words, "words-id")
         found = held.join(small(self.words.drop("f")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("found"))
-        index = room.stage(shards.select("shard", "ids").join(found, "shard").mapInArrow(_index_shard, _INDEX), "index")
+        index = built.stage(shards.select("shard", "ids").join(found, "shard").mapInArrow(_index_shard, "shard long, forward binary, backward binary, words binary"), "index")
+        raw.close()
         self.by_length: dict[int, DataFrame] = {}
+        ids, found = self.words.count(), None
         for k in range(2, depth + 1):
-            local = room.stage(index.mapInArrow(_extend_shard(k % 2 == 0), "shard long, head long, tail long, n long, lo long, back long"), f"local{k}")
-            frequent = local.groupBy("head", "tail").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-            self.by_length[k] = room.stage(with_ids(frequent, room, f"phrases{k}"), f"phrases{k}-id")
+            side = "forward" if k % 2 == 0 else "backward"
+            grown = index.select("shard", side, "words").mapInArrow(_extend_words, _LOCAL) if k == 2 else index.select("shard", side).join(found, "shard").mapInArrow(_extend_phrases(k % 2 == 0), _LOCAL)
+            here = Scratch(spark)
+            local = here.stage(grown, f"local{k}").withColumn("key", _pair("head", "tail", ids))
+            if k > 2:
+                last.close()  # noqa: F821  the rows that `found` was made from
+            last = here
+            frequent = local.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+            both = (F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))) if ids < 1 << 31 else (F.col("key.head"), F.col("key.tail"))
+            numbered = with_ids(frequent.select(both[0].alias("head"), both[1].alias("tail"), "f"), room, f"phrases{k}")
+            self.by_length[k] = room.stage(numbered, f"phrases{k}-id")
             if k < depth:
-                found = local.join(small(self.by_length[k].select("head", "tail", "id")), ["head", "tail"]).groupBy("shard").agg(F.collect_list(F.struct("lo", "back", "n", "id")).alias("found"))
-                index = room.stage(index.select("shard", "forward", "backward", "width").join(found, "shard").mapInArrow(_pack_phrases, _INDEX), f"index{k}")
+                named = self.by_length[k].select(_pair("head", "tail", ids).alias("key"), "id")
+                found = local.select("shard", "key", "lo", "back", "n").join(small(named, 1_000_000), "key").groupBy("shard").agg(F.collect_list(F.struct("lo", "back", "n", "id")).alias("found"))
+                ids = self.by_length[k].count()
+        last.close()
+        built.close()
 
     def extensions(self, k: int) -> DataFrame:
         """id of every phrase of k words that a frequent one of k + 1 words holds, and the greatest count of those."""
