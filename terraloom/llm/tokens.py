@@ -21,6 +21,8 @@ import regex
 from terraloom.llm.common import pieces
 
 _SLICE = 1 << 20
+#: Code points of the longest slice that is split in bulk.
+_LONGEST = 4 << 20
 _LETTER, _DIGIT, _SPACE, _OTHER, _UNKNOWN = range(5)
 _SUFFIX = regex.compile("'(?:s|t|re|ve|m|ll|d)")
 _BASE = 0x9E3779B97F4A7C15
@@ -48,7 +50,7 @@ def _byte_symbols() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, path: str, most_cached: int = 1_000_000, specials: bool = False) -> None:
+    def __init__(self, path: str, most_cached: int = 400_000, specials: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -57,10 +59,7 @@ class Encoder:
         self.names = [t.content for t in added if specials or not t.special]
         self.model, self.symbols, self.most = self.whole.model, _byte_symbols(), most_cached
         self.classes = self._classes()
-        up = np.full(4 * _SLICE, _BASE, np.uint64)
-        down = np.full(4 * _SLICE, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        self.up = self.down = np.ones(1, np.uint64)
         self._clear()
 
     def _clear(self) -> None:
@@ -70,6 +69,16 @@ class Encoder:
         self.first = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
 
+    def _powers(self, n: int) -> None:
+        """The powers of the base and of its inverse, for as many code points as a slice had so far."""
+        if n > len(self.up):
+            made = []
+            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+                steps = np.full(min(_LONGEST, n + n // 4), base, np.uint64)
+                steps[0] = 1
+                made.append(np.cumprod(steps, dtype=np.uint64))
+            self.up, self.down = made
+
     def _classes(self) -> np.ndarray:
         """The class of each assigned code point of the basic plane and of pictographs, from whether the pre-tokenizer joins it to a letter, a digit or a mark."""
         out = np.full(0x110000, _UNKNOWN, np.uint8)
@@ -121,10 +130,10 @@ class Encoder:
         kinds = self.classes[points]
         ends = np.cumsum([len(t) for t in texts])
         named = any(name in joined for name in self.names)
-        if len(points) > len(self.up) or named or (kinds == _UNKNOWN).any():
+        if len(points) > _LONGEST or named or (kinds == _UNKNOWN).any():
             strange = np.array([named and any(name in t for name in self.names) for t in texts])
             strange[np.searchsorted(ends, np.flatnonzero(kinds == _UNKNOWN), "right")] = True
-            strange |= np.array([len(t) > len(self.up) for t in texts])
+            strange |= np.array([len(t) > _LONGEST for t in texts])
             parts: list[np.ndarray] = [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32) if s else np.zeros(0) for t, s in zip(texts, strange, strict=True)]
             if named and not strange.any():  # a name that runs over a border of texts
                 return self._bulk(texts, joined, points, kinds, ends)
@@ -139,6 +148,7 @@ class Encoder:
         cuts = self._cuts(joined, points, kinds, begins, ends)
         stops = np.append(cuts[1:], len(points))
         n = len(points)
+        self._powers(n)
         sums = np.zeros(n + 1, np.uint64)
         x = points.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
