@@ -54,10 +54,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """A folder in the shared one for the intermediates of one job; close() deletes it, once nothing is to be computed from them."""
+    """A folder in the shared one for the intermediates of one job; close() deletes it, once nothing is to be computed from them. What a lazy result still reads has another name."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str = "scratch"):
+        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         return stage(df, name, folder=self.folder)

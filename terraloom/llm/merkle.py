@@ -225,7 +225,7 @@ class Manifest:
 
     def __init__(self, docs: DataFrame, altered: F.Column | None = None):
         """altered: a digest to hold against the manifest in place of the leaf's own, null where there is none."""
-        self.room = room = Scratch(docs.sparkSession)
+        self.room = room = Scratch(docs.sparkSession, "manifest")
         tree = F.coalesce(F.concat(F.lit("."), F.col("source").cast("string")), F.lit(""))  # null first, then by bytes
         other = F.lit(None).cast("binary") if altered is None else altered
         rows = docs.select(tree.alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), leaf_digest().alias("digest"), other.alias("altered"))

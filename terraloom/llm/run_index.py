@@ -39,8 +39,8 @@ from terraloom.llm.common import Scratch, pieces, small, table, utf8
 
 LENGTH = 200
 #: Bytes of snippets in a shard, and distinct snippets of one anchor beyond which it is split.
-SHARD = 3 << 20
-MOST = 4000
+SHARD = 2 << 20
+MOST = 3000
 _SLICE = 1 << 20
 _SEGMENT = 1 << 21
 _PLACE_BITS = 24
@@ -324,7 +324,7 @@ def _settled(members: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, shard: int = SHARD) -> DataFrame:
     """doc_id, key (a hash of the text), a, b: spans of bytes that are covered by repeats; they may overlap. docs: doc_id, key, text."""
-    room = Scratch(docs.sparkSession)
+    room, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession, "repeats")
     every = room.stage(docs.mapInArrow(_find(length), "doc_id long, key long, start long, windows int, off int, times long, h long, g long"), "snippets")
     twice = every.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
     live = room.stage(every.join(twice, "h", "left_semi"), "live")
@@ -365,7 +365,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, shar
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
-    return room.stage(out, "spans")
+    out = kept.stage(out, "spans")
+    room.close()
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
