@@ -8,9 +8,10 @@ once to n + 1 words, to the left through the transform (a last-to-first step giv
 offset in the other index), to the right through the reversed one; directions alternate. An extension is kept only if the phrases of its
 first n and its last n words are both frequent in the whole corpus, which follows from the rows alone.
 
-Counts of a depth are summed over shards, phrases of the least count get an id, and the shards get the ids of their phrases back for the
-next depth. So a phrase is a row of two ids, of the phrases without its last and without its first word; nothing is enumerated that
-cannot be frequent, no vocabulary or phrase table is collected, and sums have map-side partials.
+Counts of a depth are summed over shards: a shard's phrases travel as compressed blocks, one for each bucket of a hash of the phrase, a bucket is
+summed in one task of bounded size, and the phrases of the least count get an id, which goes back to the shards that have them for the
+next depth. So a phrase is a pair of ids, of the phrases without its last and without its first word; nothing is enumerated that
+cannot be frequent, and no vocabulary or phrase table is collected.
 
 Defined cases: null and empty texts have no words; a null lang is `und` and one with a lang of that name; phrases cross neither pieces nor
 texts; repeated rows count as often as they stand; ties of cuts go to the shortest first part, of ranks to the lesser phrase by bytes; a
@@ -32,6 +33,8 @@ from terraloom.llm.common import Scratch, small, table, utf8
 
 #: Bytes of text in a shard.
 SHARD = 12 << 20
+#: Phrases of all shards that are summed in one task, about.
+BUCKET = 1 << 20
 #: Longest phrase, and the words by which rows of an index are sorted.
 DEPTH = 4
 LEAST = 30
@@ -47,10 +50,14 @@ _GAP = _BORDER.copy()
 _GAP[[0x20, 0x09]] = True
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """The numbers' type, their bytes' number and the compressed bytes, for tables and shuffles that compress less."""
+    raw = np.ascontiguousarray(values).tobytes()
+    return values.dtype.str[1:].encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
 def _array(values: np.ndarray) -> pa.Array:
-    """One binary value: the items' width and the compressed numbers, for tables and shuffles that compress less."""
-    raw = np.ascontiguousarray(values)
-    return pa.array([raw.dtype.str[1:].encode() + len(raw.data.tobytes()).to_bytes(8, "little") + pa.compress(raw.data.tobytes(), "zstd", asbytes=True)], pa.binary())
+    return pa.array([_packed(values)], pa.binary())
 
 
 def _numbers(value: bytes) -> np.ndarray:
@@ -195,8 +202,21 @@ def _index_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([shard]), _array(transform(t).astype(kind)), _array(transform(t[::-1]).astype(kind)), _array(words)], ["shard", "forward", "backward", "words"])
 
 
-def _extended(shard: int, bwt: np.ndarray, left: bool, lo: np.ndarray, back: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Phrases one word longer than those given: shard, head, tail, n, and their intervals lo, back."""
+def with_ids(rows: DataFrame, room: Scratch, name: str) -> DataFrame:
+    """rows, written, with a dense id: the place in the written part plus the rows of the parts before. One count for each part reaches the driver."""
+    held = room.stage(rows.withColumn("id", F.monotonically_increasing_id()), name)
+    part = F.shiftright("id", 33)
+    counts = sorted((r["part"], r["count"]) for r in held.groupBy(part.alias("part")).count().collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    before = F.broadcast(held.sparkSession.createDataFrame(starts or [(0, 0)], "part long, before long"))
+    return held.join(before, part == F.col("part")).withColumn("id", F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "before")
+
+
+def _extended(bwt: np.ndarray, left: bool, lo: np.ndarray, back: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Phrases one word longer than those given, a column each: head, tail, count, and their intervals lo, back."""
     index = Index(bwt)
     near, far = (lo, back) if left else (back, lo)
     of_row = _by_rows(len(bwt), near, size, ids)
@@ -205,50 +225,87 @@ def _extended(shard: int, bwt: np.ndarray, left: bool, lo: np.ndarray, back: np.
     keep = met >= 0
     which, new, count, other, met = which[keep], new[keep], count[keep], other[keep], met[keep]
     head, tail = (met, ids[which]) if left else (ids[which], met)
-    lo, back = (new, other) if left else (other, new)
-    for i in range(0, len(head), 1 << 17):
-        j = slice(i, i + (1 << 17))
-        arrays = [pa.array(np.full(len(head[j]), shard)), *(pa.array(np.ascontiguousarray(x[j])) for x in (head, tail, count, lo, back))]
-        yield pa.RecordBatch.from_arrays(arrays, ["shard", "head", "tail", "n", "lo", "back"])
+    return np.stack([head, tail, count, *((new, other) if left else (other, new))])
 
 
-def _extend_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard, bwt, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield from _extended(shard, _numbers(bwt), True, *_numbers(words).reshape(4, -1))
+def _mixed(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    x = head.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tail.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+_BLOCK = "shard long, bucket long, data binary"
 
 
-def _extend_phrases(left: bool):
-    """found: lo, back, n and id of the frequent phrases of each shard."""
+def _dealt(shard: int, phrases: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of a shard as one compressed block for each bucket of pairs, sorted by pair."""
+    bucket = (_mixed(phrases[0], phrases[1]) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((phrases[1], phrases[0], bucket))
+    bucket, phrases = bucket[order], phrases[:, order]
+    if phrases.max(initial=0) < 1 << 31:
+        phrases = phrases.astype(np.int32)
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(bucket))
+    for i in range(0, len(starts), 256):
+        data = [_packed(phrases[:, a:b]) for a, b in zip(starts[i : i + 256], ends[i : i + 256], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(data), pa.int64()), pa.array(bucket[starts[i : i + 256]]), pa.array(data, pa.binary())], ["shard", "bucket", "data"])
 
+
+def _extend_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, bwt, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                values = np.array([(x["lo"], x["back"], x["n"], x["id"]) for x in found], np.int64).reshape(-1, 4)
-                yield from _extended(shard, _numbers(bwt), left, *values[np.argsort(values[:, 0])].T)
+            for shard, bwt, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _dealt(shard, _extended(_numbers(bwt), True, *_numbers(words).reshape(4, -1)), buckets)
 
     return run
 
 
-def with_ids(rows: DataFrame, room: Scratch, name: str) -> DataFrame:
-    """rows, written, with a dense id: the place in the written part plus the rows of the parts before. One count for each part reaches the driver."""
-    held = room.stage(rows.withColumn("id", F.monotonically_increasing_id()), name)
-    part = F.shiftright("id", 33)
-    counts = sorted((r["part"], r["count"]) for r in held.groupBy(part.alias("part")).count().collect())
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    before = F.broadcast(held.sparkSession.createDataFrame(starts or [(0, 0)], "part long, before long"))
-    return held.join(before, part == F.col("part")).withColumn("id", F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "before")
+def _extend_phrases(left: bool, buckets: int):
+    """found: blocks of lo, back, count and id of the frequent phrases of each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, bwt, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = np.concatenate([_numbers(x).reshape(4, -1) for x in found], axis=1)
+                yield from _dealt(shard, _extended(_numbers(bwt), left, *values[:, np.argsort(values[0])]), buckets)
+
+    return run
 
 
-_LOCAL = "shard long, head long, tail long, n long, lo long, back long"
+def _sum_bucket(least: int):
+    """The frequent phrases of a bucket, a row without shard (id, head, tail, count), and where each shard has them (lo, back, count, id). Ids are the bucket's number and the place in it."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        shards, blocks = rows.column("shard").to_pylist(), [_numbers(x).reshape(5, -1) for x in rows.column("data").to_pylist()]
+        sizes = [x.shape[1] for x in blocks]
+        every = np.concatenate(blocks, axis=1).astype(np.int64)
+        order = np.lexsort((every[1], every[0]))
+        head, tail = every[0, order], every[1, order]
+        new = np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(every[2, order], first)
+        often = total >= least
+        ids = np.where(often, (key[0].as_py() << 31) + np.cumsum(often) - 1, -1)
+        of_row = np.empty(len(order), np.int64)
+        of_row[order] = ids[np.cumsum(new) - 1]
+        made: list[tuple[int | None, bytes]] = []
+        if often.any():
+            made.append((None, _packed(np.stack([ids[often], head[first[often]], tail[first[often]], total[often]]))))
+        hit = np.flatnonzero(of_row >= 0)
+        cuts = np.searchsorted(hit, np.concatenate([[0], np.cumsum(sizes)]))
+        for shard, a, b in zip(shards, cuts[:-1], cuts[1:], strict=True):
+            own = hit[a:b]
+            if len(own):
+                made.append((shard, _packed(np.stack([every[3, own], every[4, own], every[2, own], of_row[own]]))))
+        return pa.table({"shard": pa.array([m[0] for m in made], pa.int64()), "data": pa.array([m[1] for m in made], pa.binary())})
 
+    return run
 
-def _pair(head: str, tail: str, ids: int) -> F.Column:
-    """Two ids of at most `ids` as one key: one number where both fit into it."""
-    return F.shiftleft(head, 32).bitwiseOR(F.col(tail)) if ids < 1 << 31 else F.struct(F.col(head).alias("head"), F.col(tail).alias("tail"))
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in _numbers(data).reshape(4, -1)], ["id", "head", "tail", "f"])
 
 
 class Phrases:
@@ -258,38 +315,30 @@ class Phrases:
     ids of the phrases of k - 1 words without the last and without the first word. Shards and indexes are deleted as soon as nothing reads them.
     """
 
-    def __init__(self, docs: DataFrame, least: int = LEAST, depth: int = DEPTH, shard: int = SHARD):
+    def __init__(self, docs: DataFrame, least: int = LEAST, depth: int = DEPTH, shard: int = SHARD, bucket: int = BUCKET):
         spark = docs.sparkSession
-        room, raw, built = Scratch(spark), Scratch(spark), Scratch(spark)
+        room, raw, built = Scratch(spark, "phrases"), Scratch(spark), Scratch(spark)
         texts = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
         shards = raw.stage(texts.mapInArrow(_make_shards(shard), "shard long, lang string, words array<string>, counts array<long>, ids binary"), "shards")
         held = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("shard", "lang", (F.col("place") + 1).alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-        words = with_ids(held.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), room, "words")
+        self.words = room.stage(with_ids(held.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), room, "words"), "words-id")
         sums = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
         self.totals = room.stage(sums.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        self.words = room.stage(words, "words-id")
         found = held.join(small(self.words.drop("f")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("found"))
         index = built.stage(shards.select("shard", "ids").join(found, "shard").mapInArrow(_index_shard, "shard long, forward binary, backward binary, words binary"), "index")
         raw.close()
         self.by_length: dict[int, DataFrame] = {}
-        ids, found = self.words.count(), None
+        above, found = self.words, None
         for k in range(2, depth + 1):
-            side = "forward" if k % 2 == 0 else "backward"
-            grown = index.select("shard", side, "words").mapInArrow(_extend_words, _LOCAL) if k == 2 else index.select("shard", side).join(found, "shard").mapInArrow(_extend_phrases(k % 2 == 0), _LOCAL)
-            here = Scratch(spark)
-            local = here.stage(grown, f"local{k}").withColumn("key", _pair("head", "tail", ids))
-            if k > 2:
-                last.close()  # noqa: F821  the rows that `found` was made from
-            last = here
-            frequent = local.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-            both = (F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))) if ids < 1 << 31 else (F.col("key.head"), F.col("key.tail"))
-            numbered = with_ids(frequent.select(both[0].alias("head"), both[1].alias("tail"), "f"), room, f"phrases{k}")
-            self.by_length[k] = room.stage(numbered, f"phrases{k}-id")
-            if k < depth:
-                named = self.by_length[k].select(_pair("head", "tail", ids).alias("key"), "id")
-                found = local.select("shard", "key", "lo", "back", "n").join(small(named, 1_000_000), "key").groupBy("shard").agg(F.collect_list(F.struct("lo", "back", "n", "id")).alias("found"))
-                ids = self.by_length[k].count()
-        last.close()
+            # All shards together hold no more phrases than their heads occur.
+            buckets = 1 + (above.agg(F.sum("f")).first()[0] or 0) // bucket
+            if k == 2:
+                blocks = index.select("shard", "forward", "words").mapInArrow(_extend_words(buckets), _BLOCK)
+            else:
+                blocks = index.select("shard", "forward" if k % 2 == 0 else "backward").join(found, "shard").mapInArrow(_extend_phrases(k % 2 == 0, buckets), _BLOCK)
+            summed = room.stage(blocks.groupBy("bucket").applyInArrow(_sum_bucket(least), "shard long, data binary"), f"phrases{k}")
+            above = self.by_length[k] = summed.where("shard IS NULL").select("data").mapInArrow(_unpack, "id long, head long, tail long, f long")
+            found = summed.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("data").alias("found"))
         built.close()
 
     def extensions(self, k: int) -> DataFrame:

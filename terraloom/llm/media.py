@@ -409,3 +409,19 @@ def media_features(docs: DataFrame) -> DataFrame:
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
+
+
+def encoded_media(docs: DataFrame) -> DataFrame:
+    """doc_id and media, the AVI file of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            files = [text_to_avi(t)[1] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["doc_id", "media"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, media binary")
+
+
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed clip rows of the media made of every text."""
+    return clips(encoded_media(table(spark, sf_dir, "documents")))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import table, utf8
+from terraloom.llm.common import word_count, table, utf8
 from terraloom.llm.tokens import default_path, encoder
 
 LENGTH = 2048
@@ -206,3 +206,10 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
 
 def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), specials=True)
+
+
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one example: its words, of which the assistant's bear loss, under limits on tokens, segments and loss-bearing tokens."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", word_count(F.col("text")).alias("words"))
+    examples = turns.groupBy("conv_id").agg(F.sum("words").alias("tokens"), F.sum(F.when(F.col("role") == "assistant", F.col("words")).otherwise(0)).alias("loss"))
+    return pack_examples(examples, "conv_id", "tokens", "loss", segments=16, loss=1024)

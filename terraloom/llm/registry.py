@@ -24,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_run_index": run_index.op11_run_index,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op13_collocations": collocations.op13_collocations,
+        "instruction_packing": packing.instruction_packing,
+        "media_clips": media.media_clips,
     }
 
 
