@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,26 @@ def recency(df: DataFrame, column: str, days: int, now: str, name: str = "recenc
 
 def run(*results: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, results)
+
+
+#: What the metadata of a chunk must have.
+CHUNK_FIELDS = ("document_id", "chunk_index", "total_chunks", "content_hash", "ingest_version", "doc_kind")
+
+
+def chunk_errors(df: DataFrame, required: Sequence[str] = CHUNK_FIELDS) -> DataFrame:
+    """df (id, text, metadata as a map, and _corrupt_record where lines were read) with errors: an array of what is wrong with a row, empty if nothing is."""
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    found = [F.when(F.map_contains_key(F.coalesce("metadata", F.create_map().cast("map<string,string>")), F.lit(k)), None).otherwise(f"missing metadata.{k}") for k in required]
+    found = [F.when(empty("id") | empty("text"), "missing id or text"), *found]
+    errors = F.filter(F.array(*found), lambda e: e.isNotNull())
+    if "_corrupt_record" in df.columns:
+        errors = F.when(F.col("_corrupt_record").isNotNull(), F.array(F.lit("not JSON"))).otherwise(errors)
+    return df.withColumn("errors", errors)
+
+
+def chunk_report(df: DataFrame, tokens: Column) -> DataFrame:
+    """One row over chunk_errors' result: rows, bad rows, the count of each error, and the median, mean and greatest number of tokens of the readable rows."""
+    readable = F.when(~F.array_contains("errors", "not JSON"), tokens)
+    kinds = df.select(F.explode("errors").alias("e")).groupBy("e").count().agg(F.coalesce(F.map_from_entries(F.array_sort(F.collect_list(F.struct("e", "count")))), F.create_map().cast("map<string,bigint>")).alias("by_error"))
+    sums = df.agg(F.count("*").alias("rows"), F.count_if(F.size("errors") > 0).alias("bad_rows"), F.percentile(readable, 0.5).alias("token_p50"), F.avg(readable).alias("token_mean"), F.max(readable).alias("token_max"))
+    return sums.crossJoin(F.broadcast(kinds))

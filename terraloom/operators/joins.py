@@ -109,3 +109,17 @@ def title_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     both = F.size(F.array_intersect("_x", "_y"))
     union = F.size("_x") + F.size("_y") - both
     return pairs.where(100 * both >= percent * union).select(F.col("_a").alias(left_id), F.col("_b").alias(right_id), (both / union).alias("similarity"))
+
+
+def title_classes(rows: DataFrame, id_col: str, title: str, percent: int = 85) -> DataFrame:
+    """id, class_id, n_links: the least id with the same token set, and how many other rows have an equal or similar title (see `title_match`).
+
+    Equal sets are one class before any pair is formed, so copies cost one row each and no pairs.
+    """
+    keyed = rows.select(id_col, F.array_sort(tokens(F.col(title))).alias("_w"))
+    classes = keyed.groupBy("_w").agg(F.min(id_col).alias("class_id"), F.count("*").alias("_n"))
+    names = classes.select(F.col("class_id").alias("_l"), F.array_join("_w", " ").alias("_title"))
+    pairs = title_match(names, names.withColumnRenamed("_l", "_r"), "_l", "_r", "_title", percent)
+    linked = pairs.join(classes.select(F.col("class_id").alias("_r"), "_n"), "_r").groupBy(F.col("_l").alias("class_id")).agg(F.sum("_n").alias("_links"))
+    found = keyed.join(classes.select("_w", "class_id", "_n"), "_w").join(linked, "class_id", "left")
+    return found.select(id_col, "class_id", (F.coalesce("_links", "_n") - 1).alias("n_links"))

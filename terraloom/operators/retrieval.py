@@ -11,24 +11,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraloom.operators.metrics import ranked
+from terraloom.operators.state import cut
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", block: int = 512) -> DataFrame:
-    """query_id, doc_id, score: the k most similar vectors (cosine; ties by doc_id) of a stated, bounded query set.
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", block: int = 4096, rows: int = 20_000) -> DataFrame:
+    """query_id, doc_id, score: the k most similar vectors (cosine; ties by doc_id) of every query.
 
-    Queries are cut to blocks that are broadcast one by one; each task multiplies a block with its part of the corpus and keeps its own
-    k best per query, and a limited window merges those. Zero and null vectors score 0 and null respectively are left out.
+    Up to `block` queries are broadcast, and each task multiplies them with its part of the corpus. More are dealt to blocks and the corpus to slices of about `rows`
+    vectors by hash, and each block meets each slice in one group, so neither side reaches the driver. Either way a group keeps its own k best per query, and a
+    limited window merges those. Zero and null vectors score 0 and null respectively are left out.
     """
-    rows = queries.where(F.col(vector).isNotNull()).select(query_id, vector).orderBy(query_id).collect()
-    parts = []
-    for i in range(0, len(rows), block):
-        names = [r[0] for r in rows[i : i + block]]
-        q = _unit(np.array([r[1] for r in rows[i : i + block]], np.float64))
-        held = corpus.sparkSession.sparkContext.broadcast((names, q))
-        parts.append(corpus.where(F.col(vector).isNotNull()).select(doc_id, vector).mapInPandas(_best(held, k, query_id, doc_id, vector), f"{query_id} long, {doc_id} long, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    asked = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
+    held = corpus.where(F.col(vector).isNotNull()).select(doc_id, vector)
+    schema = f"{query_id} long, {doc_id} long, score double"
+    n = asked.limit(block + 1).count()
+    if n <= block:
+        some = asked.orderBy(query_id).collect()
+        q = _unit(np.array([r[1] for r in some], np.float64).reshape(len(some), -1))
+        sent = corpus.sparkSession.sparkContext.broadcast(([r[0] for r in some], q))
+        found = held.mapInPandas(_best(sent, k, query_id, doc_id, vector), schema)
+    else:
+        blocks, slices = -(-asked.count() // block), max(1, -(-held.count() // rows))
+        left = asked.withColumns({"_block": F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("long"), "_slice": F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))})
+        right = held.withColumns({"_slice": F.pmod(F.xxhash64(doc_id), F.lit(slices)).cast("int"), "_block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
+
+        def meet(some: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+            if not len(some) or not len(part):
+                return pd.DataFrame({query_id: [], doc_id: [], "score": []})
+            return _top(some[query_id].to_numpy(), _unit(np.stack(some[vector].to_numpy()).astype(np.float64)), part, k, query_id, doc_id, vector)
+
+        found = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice")).applyInPandas(meet, schema)
     return ranked(found, [query_id], [F.desc("score"), F.col(doc_id)], k)
 
 
@@ -37,16 +49,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
+def _top(names: Sequence[int], q: np.ndarray, part: pd.DataFrame, k: int, query_id: str, doc_id: str, vector: str) -> pd.DataFrame:
+    """The k best of some vectors for each query, queries in slices so that the scores stay bounded."""
+    ids, v = part[doc_id].to_numpy(), _unit(np.stack(part[vector].to_numpy()).astype(np.float64)).T
+    out = []
+    for i in range(0, len(q), 512):
+        scores = np.round(q[i : i + 512] @ v, 9)
+        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+        out.append(pd.DataFrame({query_id: np.repeat(names[i : i + 512], order.shape[1]), doc_id: ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
+    return pd.concat(out) if out else pd.DataFrame({query_id: [], doc_id: [], "score": []})
+
+
 def _best(held, k: int, query_id: str, doc_id: str, vector: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = held.value
         for frame in frames:
-            if not len(frame):
-                continue
-            ids = frame[doc_id].to_numpy()
-            scores = np.round(q @ _unit(np.stack(frame[vector].to_numpy()).astype(np.float64)).T, 9)
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            yield pd.DataFrame({query_id: np.repeat(names, order.shape[1]), doc_id: ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+            if len(frame) and len(names):
+                yield _top(names, q, frame, k, query_id, doc_id, vector)
 
     return run
 
@@ -61,7 +80,8 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_i
     docs = corpus.select(doc_id, terms(F.col(text)).alias("_w")).withColumn("_len", F.size("_w"))
     stats = docs.agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"))
     asked = q.select("term").distinct()
-    tf = docs.select(doc_id, "_len", F.explode("_w").alias("term")).join(asked, "term", "left_semi").groupBy(doc_id, "_len", "term").agg(F.count("*").alias("tf"))
+    # Written once: both the document frequencies and the scores read the counts.
+    tf = cut(docs.select(doc_id, "_len", F.explode("_w").alias("term")).join(asked, "term", "left_semi").groupBy(doc_id, "_len", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -140,3 +160,23 @@ def route_corpora(queries: DataFrame, query_id: str, intent: str, rules: DataFra
     kept = q.join(named, F.col("_intent") == F.col("_i"), "left").where(F.coalesce(~F.col("skip"), F.lit(False))).select(query_id, "corpus", "boost")
     left = q.join(kept.select(query_id).distinct(), query_id, "left_anti")
     return kept.unionByName(left.select(query_id, F.lit(default).alias("corpus"), F.lit(0.0).alias("boost")))
+
+
+#: Boosts of kinds of context, and what a numeric or comparing question, and rows with a meaning, add.
+KIND_BOOST = {"bigquery": 0.12, "academic": 0.06, "policy": 0.06, "public_report": 0.06, "formation": 0.05, "ota_insight": 0.05, "news": 0.04, "web_wikipedia": 0.0, "web_search": 0.0}
+STRUCTURED = "bigquery"
+ASKED_BOOST = {"numeric": {"kind": 0.10, "meaning": 0.05, "ranked": 0.15}, "comparing": {"kind": 0.06, "meaning": 0.04, "ranked": 0.10}, "other": {"kind": 0.0, "meaning": 0.05, "ranked": 0.15}}
+UNRELAXED_BOOST = 0.05
+
+
+def context_boost(kind: Column, corpus: Column, enrichment: Column, meaning: Column, relaxed: Column, numeric: Column, comparing: Column, kinds: Mapping[str, float] = KIND_BOOST) -> Column:
+    """What is added to a row's score: its kind's boost or the corpus's if that is greater, more for structured rows and rows with a meaning (by what is asked for), and for
+    rows that no filter was relaxed for. Null corpus boosts count as none; unknown kinds start from 0."""
+    k = F.lower(F.coalesce(kind, F.lit("")))
+    static = F.coalesce(*[F.when(k == name, F.lit(x)) for name, x in kinds.items()], F.lit(0.0))
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    asked = lambda what: F.when(numeric, ASKED_BOOST["numeric"][what]).when(comparing, ASKED_BOOST["comparing"][what]).otherwise(ASKED_BOOST["other"][what])
+    given = lambda condition, x: F.when(condition, x).otherwise(0.0)
+    out = F.greatest(static, F.coalesce(corpus.cast("double"), static))
+    out = out + given(k == STRUCTURED, asked("kind")) + given(F.coalesce(meaning, F.lit(False)) | (text(enrichment) != ""), asked("meaning")) + given(text(enrichment) == "ranked_table", asked("ranked"))
+    return out + given(text(relaxed).isin("", "none"), F.lit(UNRELAXED_BOOST))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraloom.plans import articles, context, corpus, harmonised, meaning, measures, retrieval, streams, structure, warehouse  # noqa: F401  they register their queries
+from terraloom.plans import articles, context, corpus, harmonised, meaning, measures, models, retrieval, streams, structure, warehouse, whole  # noqa: F401  they register their queries
 from terraloom.plans.base import QUERIES, SQL, Query
 
 FLAGSHIP = "m1_rank_by_sum"
