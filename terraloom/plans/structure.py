@@ -54,7 +54,7 @@ _BUDGET = 3000
 
 @query(f"""WITH s AS (SELECT doc_id, source, text, strlen(coalesce(text, '')) AS n, sum(strlen(coalesce(text, ''))) OVER (PARTITION BY source ORDER BY doc_id) - strlen(coalesce(text, '')) AS before FROM documents),
 k AS (SELECT *, {_BUDGET} - before AS room FROM s WHERE before <= {_BUDGET} AND (n <= {_BUDGET} - before OR {_BUDGET} - before > 32))
-SELECT source, doc_id, n > room AS truncated, CASE WHEN n <= room THEN text ELSE rtrim(left(text, (SELECT max(c) FROM range(0, {_BUDGET} + 1) r(c) WHERE c <= room AND strlen(left(text, c::BIGINT)) <= room - 3)::BIGINT)) || '…' END AS text FROM k""")
+SELECT source, doc_id, n > room AS truncated, CASE WHEN n <= room THEN text ELSE regexp_replace(left(text, (SELECT max(c) FROM range(0, {_BUDGET} + 1) r(c) WHERE c <= room AND strlen(left(text, c::BIGINT)) <= room - 3)::BIGINT), '\\s+$', '') || '…' END AS text FROM k""")
 def w5_crossing_row(spark, sf_dir):
     """What fits into the byte budget of each source, with as much of the crossing text as is left."""
     rows = read(spark, sf_dir, "documents").select("source", "doc_id", "text")
