@@ -187,21 +187,28 @@ def places_of_focus(text: Column, names: Sequence[str] = COUNTRIES, same: Mappin
     A mention is the name as whole words, whatever its case, also within a longer name (`Guinea` in `Guinea-Bissau`). With more than three candidates those with two
     mentions count, or the first `few` if there are none.
     """
-    body = F.lower(meaning.main_text(text))
     ordered = sorted(names, key=lambda n: (-len(n), list(names).index(n)))
     rank: dict[str, int] = {}
     for n in ordered:
         rank.setdefault(same.get(n, n), len(rank))
-    counts = []
-    for name, place in rank.items():
-        n = F.lit(0)
-        for alias in (a for a in ordered if same.get(a, a) == name):
-            n = n + F.regexp_count(body, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){tx._quote(alias.lower())}(?![\p{{L}}\p{{N}}_])"))
-        counts.append(F.struct((-n).alias("minus"), F.lit(place).alias("place"), F.lit(name).alias("name")))
-    found = F.array_sort(F.filter(F.array(*counts), lambda c: c["minus"] < 0))
-    often = F.when(F.size(found) > 3, F.filter(found, lambda c: c["minus"] <= -2)).otherwise(found)
-    chosen = F.when(F.size(often) > 0, F.slice(often, 1, most)).otherwise(F.slice(found, 1, few))
-    return F.transform(chosen, lambda c: c["name"])
+
+    def look(body: Column) -> Column:
+        counts = []
+        for name, place in rank.items():
+            n = F.lit(0)
+            for alias in (a for a in ordered if same.get(a, a) == name):
+                n = n + F.when(F.contains(body, F.lit(alias.lower())), F.regexp_count(body, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){tx._quote(alias.lower())}(?![\p{{L}}\p{{N}}_])"))).otherwise(0)
+            counts.append(F.struct((-n).alias("minus"), F.lit(place).alias("place"), F.lit(name).alias("name")))
+        return F.array_sort(F.filter(F.array(*counts), lambda c: c["minus"] < 0))
+
+    # As an array's element the text is prepared once, not for every name.
+    found = F.get(F.transform(F.array(F.lower(meaning.main_text(text))), look), F.lit(0))
+
+    def choose(found: Column) -> Column:
+        often = F.when(F.size(found) > 3, F.filter(found, lambda c: c["minus"] <= -2)).otherwise(found)
+        return F.transform(F.when(F.size(often) > 0, F.slice(often, 1, most)).otherwise(F.slice(found, 1, few)), lambda c: c["name"])
+
+    return F.get(F.transform(F.array(found), choose), F.lit(0))
 
 
 #: Keys of metadata that name a metric, the lanes whose text is read for claims, and the fields of a claim.
