@@ -27,7 +27,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "
     n = asked.limit(block + 1).count()
     if n <= block:
         some = asked.orderBy(query_id).collect()
-        q = _unit(np.array([r[1] for r in some], np.float64).reshape(len(some), -1))
+        q = _unit(np.array([r[1] for r in some], np.float64)) if some else np.zeros((0, 1))
         sent = corpus.sparkSession.sparkContext.broadcast(([r[0] for r in some], q))
         found = held.mapInPandas(_best(sent, k, query_id, doc_id, vector), schema)
     else:
