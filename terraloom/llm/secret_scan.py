@@ -39,13 +39,17 @@ from terraloom.llm.common import bounded_sample, cut, stage, table
 
 _NAME = r"(?:secret|token|passw(?:or[dt]|d)|passphrase|passcode|pass(?![A-Za-z])|pwd|(?<![A-Za-z])pw(?![A-Za-z])|api.?key|access.?key|private.?key|credential|bearer|auth)"
 _VALUE = r"[^\s\"'`<>,;]"
-_GIVEN = rf"(?i:{_NAME}[\w-]{{0,32}}+[\"'`]?[\x20\t]{{0,4}}(?:=>|:=|[:=])[\x20\t]{{0,4}}(?:Bearer[\x20])?[\"'`]?)"
+_NAMED = rf"(?=[A-CPSTa-cpst])(?i:{_NAME}[\w-]{{0,32}}+)"
+_ASSIGN = r"[\"'`]?[\x20\t]{0,4}(?:=>|:=|[:=])[\x20\t]{0,4}(?i:Bearer[\x20])?[\"'`]?"
+_GIVEN = _NAMED + _ASSIGN
 _ADDRESS = r"://[^\s/@:\"'<>]{1,64}:"
 #: A credential that a sentence names, and the password that follows a database client's -p; both hold a digit.
-_SAID = rf"(?i:{_NAME}[\w-]{{0,32}}+\x20is:?\x20[\"'`]?)(?={_VALUE}{{0,128}}[0-9])"
-_CLIENT = rf"(?<![\w-])-p(?=[^\s\"'`<>,;=:/]{{0,64}}[0-9])"
+_IS = rf"\x20(?i:is):?\x20[\"'`]?(?={_VALUE}{{0,128}}[0-9])"
+_SAID = _NAMED + _IS
+_CLIENT = rf"-p(?<![\w-]-p)(?=[^\s\"'`<>,;=:/]{{0,64}}[0-9])"
+# The name of a credential is tried once for both of its forms, and only where a letter may begin one.
 CANDIDATE = (
-    rf"{_GIVEN}{_VALUE}{{6,}}|{_SAID}{_VALUE}{{5,}}[^\s\"'`<>,;.]|{_ADDRESS}[^\s/@\"'<>]{{3,64}}@|{_CLIENT}[^\s\"'`<>,;=:/]{{6,}}"
+    rf"{_NAMED}(?:{_ASSIGN}{_VALUE}{{6,}}|{_IS}{_VALUE}{{5,}}[^\s\"'`<>,;.])|{_ADDRESS}[^\s/@\"'<>]{{3,64}}@|{_CLIENT}[^\s\"'`<>,;=:/]{{6,}}"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}(?:\.[A-Za-z0-9_-]{16,}){0,4}={0,2}"
 )
 #: What of a match stands before the value.
