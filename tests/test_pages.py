@@ -107,3 +107,13 @@ def test_chunk_errors(spark):
     r = checks.chunk_report(df, F.coalesce(F.length("text"), F.lit(0))).first()
     assert (r["rows"], r["bad_rows"], r["token_max"], r["by_error"]["not JSON"]) == (5, 4, 1, 1)
     assert checks.chunk_report(df.limit(0), F.lit(1)).first()["rows"] == 0
+
+
+def test_copies_of_titles_meet_once(spark):
+    """Copies multiply the pairs, but only sets are compared, and the pairs of rows are not shuffled."""
+    rows = spark.range(400).select(F.col("id").alias("i"), F.concat(F.lit("Red ring number "), (F.col("id") % 4).cast("string")).alias("t"))
+    found = joins.title_match(rows, rows.withColumnRenamed("i", "j"), "i", "j", "t", 60)
+    assert found.count() == 400 * 400
+    assert found.groupBy("similarity").count().orderBy("similarity").collect() == [(0.6, 400 * 300), (1.0, 400 * 100)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate"), "pairs of rows are aggregated, hence shuffled"
