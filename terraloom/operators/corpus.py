@@ -18,6 +18,9 @@ FALL = r"\b(decreas(?:e|ed|es|ing)|declin(?:e|ed|es|ing)|drop(?:ped|s|ping)?|fal
 STABLE = r"\b(stable|unchanged|flat|steady|stagnant|plateau(?:ed)?|no\s+change|remain(?:ed|s|ing)?\s+(?:the\s+same|stable|flat))\b"
 PERCENT = r"([+\-−–]?)\s*(\d+(?:\.\d+)?)\s*(?:%|percent(?:age)?(?:\s+points?)?|pp)(?:\s*(yoy|year[- ]on[- ]year|year[- ]over[- ]year))?"
 
+#: How any of the four begins: a text without it states no trend.
+STATES = r"(?i)\b(?:c(?:limb|ontract)|d(?:ecreas|eclin|rop|own)|expand|f(?:all|ell|lat)|g(?:rew|rowth|ain)|higher|i(?:ncreas|mprov)|lower|no\s+change|plateau|r(?:is[ei]|educ|emain)|s(?:urge|hrink|lump|table|teady|tagnant)|u(?:p\b|pward|nchanged)|worsen)|\d\s*(?:%|pp|percent)"
+
 
 def binary_text(text: Column, head: int = 800) -> Column:
     """Whether a text is bytes of a file: a known magic prefix, or many control or replacement characters in its head."""
@@ -148,7 +151,8 @@ def claims(text: Column) -> dict[str, Column]:
     direction = F.when((words == "unknown") & (magnitude < 0), "decreasing").when((words == "unknown") & (magnitude > 0), "increasing").otherwise(words)
     usable = (direction != "unknown") | magnitude.isNotNull()
     unit = F.when(number != "", F.when(yearly != "", "pct_yoy").otherwise("pct"))
-    return {"direction": F.when(usable, direction), "magnitude": magnitude, "unit": unit}
+    found = {"direction": F.when(usable, direction), "magnitude": magnitude, "unit": unit}
+    return {name: F.when(states_trend(text), value) for name, value in found.items()}
 
 
 def greedy_dedup(df: DataFrame, id_col: str, keys: Sequence[str]) -> DataFrame:

@@ -226,19 +226,22 @@ def stamp_claims(df: DataFrame, text: str, meta: str) -> DataFrame:
     has = lambda k: F.trim(F.coalesce(F.try_element_at(old, F.lit(k)), F.lit("")))
     first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
     body = F.coalesce(first(*map(has, LANES)), F.col(text))
-    claim = corpus.claims(body)
+    done = (has("finding") != "") & (has("direction") != "")
+    # A text is read once, and only where its row is not done and it may state a trend.
+    read = F.when(~done & corpus.states_trend(body), F.struct(*[c.alias(k) for k, c in corpus.claims(body).items()], meaning.finding(body).alias("finding")))
+    df = df.withColumn("_claim", read)
+    claim = {k: F.col("_claim")[k] for k in ("direction", "magnitude", "unit", "finding")}
     domain = F.trim(F.get(F.split(F.trim(F.get(F.split(has("domains"), ";"), F.lit(0))), ","), F.lit(0)))
     clause = lambda k: F.substring(F.trim(F.get(F.split(has(k), r"\."), F.lit(0))), 1, 128)
     # The first structured key that is not empty decides, even if its first clause is.
     structured = F.coalesce(*[F.when(has(k) != "", clause(k)) for k in METRIC_KEYS])
     metric = F.when(structured.isNotNull() & (structured != ""), structured).when(domain != "", F.substring(domain, 1, 128))
     usable = claim["direction"].isNotNull()
-    fields = {"finding": meaning.finding(body), "metric": metric, "direction": claim["direction"], "magnitude": claim["magnitude"].cast("string"), "unit": claim["unit"]}
+    fields = {"finding": claim["finding"], "metric": metric, "direction": claim["direction"], "magnitude": claim["magnitude"].cast("string"), "unit": claim["unit"]}
     new = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.when(has(k) == "", v).alias("value")) for k, v in fields.items()]), lambda e: e["value"].isNotNull())
     kept = F.map_filter(old, lambda k, v: ~F.array_contains(F.transform(new, lambda e: e["key"]), k))
     stamped = F.map_concat(kept, F.map_from_entries(new))
-    done = (has("finding") != "") & (has("direction") != "")
-    return df.withColumn(meta, F.when(~done & usable, stamped).otherwise(F.col(meta)))
+    return df.withColumn(meta, F.when(usable, stamped).otherwise(F.col(meta))).drop("_claim")
 
 
 def url_key(url: Column, dropped: Sequence[str] = ("utm_", "fbclid", "li_")) -> Column:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from terraloom.operators import context, structure
+from terraloom.operators import context, corpus, structure
 from terraloom.sources import files
 
 
@@ -200,3 +200,24 @@ def test_rebuild_by_id(spark, tmp_path):
     make([(2, "b", "half"), (3, "b", "x")]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
     files.rebuild(make([(2, "b", "whole")]), path, ["kind"], "id")
     assert read() == sorted([(1, "a", "x"), (2, "b", "whole"), (3, "b", "x"), (4, "a", "moved"), (5, "e", "moved"), (6, "f/g", "added")], key=repr)
+
+
+def test_names_share_one_pass(spark):
+    rows = spark.createDataFrame([("Guinea-Bissau, Niger and Nigeria; niger, Guinea, Nigeria nigerian",)], "t string")
+    found = rows.select(structure.places_of_focus(F.col("t"), ["Niger", "Nigeria", "Guinea", "Guinea-Bissau"], {}).alias("x"))
+    assert found.first()["x"] == ["Nigeria", "Guinea", "Niger"]
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_count") == 1
+
+
+def test_only_texts_with_a_trend_are_read(spark):
+    """The gate lets every text through that one of the patterns matches."""
+    words = "increase increased increases increasing rise rises rising risen grew growth up upward higher improve improving surge surged surges climb climbed gain gained expand expanded decrease decreasing decline declining drop dropped fall falling fallen fell down downward lower reduce reducing"
+    words += " shrink shrinking slump slumped contract contracted worsen worsened stable unchanged flat steady stagnant plateau plateaued no  change remained stable 5% 5.5 percent 5 percentage  points 3pp -2% yoy"
+    texts = [f"x {w} y" for w in words.split()] + [f"éx,{w.upper()},é" for w in words.split()] + ["no\n change", "remains flat", "7 pp", "nothing of 5 kinds", "upon riskless contraction", "sup 5 pupils"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    matched = F.lit(False)
+    for p in (corpus.RISE, corpus.FALL, corpus.STABLE, corpus.PERCENT):
+        matched = matched | F.col("t").rlike("(?i)" + p)
+    got = rows.select("t", matched.alias("m"), corpus.states_trend(F.col("t")).alias("g")).collect()
+    assert sum(r["m"] for r in got) > 60 and not [r["t"] for r in got if r["m"] and not r["g"]]
+    assert not {r["t"]: r["g"] for r in got}["nothing of 5 kinds"]
