@@ -192,17 +192,23 @@ def places_of_focus(text: Column, names: Sequence[str] = COUNTRIES, same: Mappin
     for n in ordered:
         rank.setdefault(same.get(n, n), len(rank))
 
-    def look(body: Column) -> Column:
+    single = [n.lower() for n in ordered if tx.is_word(n)]
+
+    def look(x: Column) -> Column:
         counts = []
         for name, place in rank.items():
             n = F.lit(0)
-            for alias in (a for a in ordered if same.get(a, a) == name):
-                n = n + F.when(F.contains(body, F.lit(alias.lower())), F.regexp_count(body, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){tx._quote(alias.lower())}(?![\p{{L}}\p{{N}}_])"))).otherwise(0)
+            for alias in (a.lower() for a in ordered if same.get(a, a) == name):
+                if tx.is_word(alias):
+                    n = n + F.size(x["w"]) - F.size(F.array_remove(x["w"], alias))
+                else:  # a longer name may hold another one, so it is counted by itself
+                    n = n + F.when(F.contains(x["t"], F.lit(alias)), F.regexp_count(x["t"], F.lit(rf"(?<![\p{{L}}\p{{N}}_]){tx._quote(alias)}(?![\p{{L}}\p{{N}}_])"))).otherwise(0)
             counts.append(F.struct((-n).alias("minus"), F.lit(place).alias("place"), F.lit(name).alias("name")))
         return F.array_sort(F.filter(F.array(*counts), lambda c: c["minus"] < 0))
 
-    # As an array's element the text is prepared once, not for every name.
-    found = F.get(F.transform(F.array(F.lower(meaning.main_text(text))), look), F.lit(0))
+    # As an array's element the text is prepared and searched for all single words once, not for every name.
+    searched = lambda body: F.struct(body.alias("t"), tx.whole_words(body, single).alias("w"))
+    found = F.get(F.transform(F.transform(F.array(F.lower(meaning.main_text(text))), searched), look), F.lit(0))
 
     def choose(found: Column) -> Column:
         often = F.when(F.size(found) > 3, F.filter(found, lambda c: c["minus"] <= -2)).otherwise(found)
