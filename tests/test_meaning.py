@@ -124,3 +124,11 @@ def test_three_key_deduplication_in_order(spark, tmp_path):
     out = {r.page_id: r.duplicate_of for r in registry.queries()["d1_three_keys"](spark, str(tmp_path)).collect()}
     assert out == {1: None, 2: 1, 3: 1, 4: None, 5: None, 6: None, 7: 6, 8: None, 9: None}
     # Pages without url, title and text match nothing; page texts hold the title element's words, so 5 differs from 4 in its body.
+
+
+def test_labels_share_one_pass(spark):
+    """Single words of all labels are found in one pass; only other ones are counted apart."""
+    rows = spark.createDataFrame([("Farm farms ai main post-harvest harvest food security",)], "t string")
+    found = rows.select(meaning.taxonomy(F.col("t"), {"a": ["farm", "ai"], "b": ["harvest", "post-harvest"], "c": ["food security"]}).alias("x"))
+    assert found.first()["x"] == ["b", "a", "c"]
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_count") == 2
