@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,19 +126,40 @@ def split_chunks(text: str, target: int, overlap: int) -> list[str]:
     return out + pack(group)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about `size` bytes of a text column, so that what is made of them doesn't grow with the batch; a longer text is a slice."""
+    start = held = 0
+    for row, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if row > start and held + n > size:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def chunk(df: DataFrame, id_col: str, text_col: str, target: int = 400, overlap_percent: int = 15, cap: int | None = None) -> DataFrame:
     """id, chunk_index, total_chunks, text: whole texts cut to chunks, at most `cap` for a document where that is asked for."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, text in zip(frame[id_col], frame[text_col], strict=True):
-                parts = split_chunks(text or "", target, target * overlap_percent // 100)[:cap]
-                out += [(key, i, len(parts), p) for i, p in enumerate(parts)]
-            yield pd.DataFrame(out, columns=[id_col, "chunk_index", "total_chunks", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 1):
+                rows, index, total, out = [], [], [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    parts = split_chunks(text or "", target, target * overlap_percent // 100)[:cap]
+                    rows += [row] * len(parts)
+                    index += range(len(parts))
+                    total += [len(parts)] * len(parts)
+                    out += parts
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(index, pa.int32()), pa.array(total, pa.int32()), pa.array(out, pa.string())], [id_col, "chunk_index", "total_chunks", "text"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, chunk_index int, total_chunks int, text string")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk_index int, total_chunks int, text string")
+
+
+def states_trend(text: Column) -> Column:
+    """Whether a text may state a trend, in one pass; the patterns that read it are for those texts alone."""
+    return F.coalesce(text, F.lit("")).rlike(STATES)
 
 
 def claims(text: Column) -> dict[str, Column]:
