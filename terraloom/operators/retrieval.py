@@ -49,14 +49,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
-def _top(names: Sequence[int], q: np.ndarray, part: pd.DataFrame, k: int, query_id: str, doc_id: str, vector: str) -> pd.DataFrame:
-    """The k best of some vectors for each query, queries in slices so that the scores stay bounded."""
+def _top(names: Sequence[int], q: np.ndarray, part: pd.DataFrame, k: int, query_id: str, doc_id: str, vector: str, some: int = 256, tile: int = 2048) -> pd.DataFrame:
+    """The k best of some vectors for each query. Queries and vectors meet in tiles, and a query keeps its k best so far, so that scores stay bounded."""
     ids, v = part[doc_id].to_numpy(), _unit(np.stack(part[vector].to_numpy()).astype(np.float64)).T
     out = []
-    for i in range(0, len(q), 512):
-        scores = np.round(q[i : i + 512] @ v, 9)
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-        out.append(pd.DataFrame({query_id: np.repeat(names[i : i + 512], order.shape[1]), doc_id: ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
+    for i in range(0, len(q), some):
+        asked = q[i : i + some]
+        best, held = np.empty((len(asked), 0)), np.empty((len(asked), 0), ids.dtype)
+        for j in range(0, len(ids), tile):
+            scores = np.hstack([best, np.round(asked @ v[:, j : j + tile], 9)])
+            found = np.hstack([held, np.broadcast_to(ids[j : j + tile], (len(asked), len(ids[j : j + tile])))])
+            order = np.lexsort((found, -scores), axis=1)[:, :k]
+            best, held = np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)
+        out.append(pd.DataFrame({query_id: np.repeat(names[i : i + some], held.shape[1]), doc_id: held.ravel(), "score": best.ravel()}))
     return pd.concat(out) if out else pd.DataFrame({query_id: [], doc_id: [], "score": []})
 
 

@@ -1,7 +1,10 @@
 import random
+import tracemalloc
 import uuid
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -174,3 +177,22 @@ def test_keywords_end_at_other_letters(spark):
     """As in SQL, only ASCII letters, digits and underscores belong to a word."""
     got = one(spark, s=tx.keyword_scores(F.lit("oféx éthe the-the thé_the of\u0301 andy a_of"), {"x": ["the"], "y": ["of", "and"]}))["s"]
     assert [(r["score"], r["name"]) for r in got] == [(3, "x"), (2, "y")]
+
+
+def test_slices_of_texts_and_tiles_of_scores():
+    """What Python holds at once follows neither the batch nor the number of vectors."""
+    batch = pa.RecordBatch.from_pydict({"i": list(range(6)), "t": ["x" * 60, None, "y" * 50, "z" * 300, "", "w"]})
+    parts = list(corpus.text_slices(batch, 1, 100))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2], [3], [4, 5]]
+    rng = np.random.default_rng(1)
+    v, q = rng.integers(-2, 3, (500, 4)).astype(float), rng.integers(-2, 3, (7, 4)).astype(float)
+    part = pd.DataFrame({"d": rng.permutation(500), "e": list(v)})
+    make = lambda **how: retrieval._top(list(range(7)), retrieval._unit(q), part, 9, "q", "d", "e", **how)
+    whole = make(some=512, tile=10**6)
+    assert whole.reset_index(drop=True).equals(make(some=3, tile=16).reset_index(drop=True))
+    scores = np.round(retrieval._unit(q) @ retrieval._unit(v).T, 9)
+    assert whole["d"].tolist() == [d for row in scores for _, d in sorted(zip(-row, part["d"], strict=True))[:9]]
+    tracemalloc.start()
+    retrieval._top(list(range(512)), np.ones((512, 4)), pd.DataFrame({"d": range(20_000), "e": list(rng.random((20_000, 4)))}), 10, "q", "d", "e")
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
