@@ -63,6 +63,16 @@ def test_title_classes(spark):
         assert got[i] == (min(same), len(near))
 
 
+def test_title_classes_are_held_and_rows_are_not(spark):
+    """Rows of few classes pass broadcast classes and those of many a sorted join; titles are cut into tokens once for the classes and once for the rows."""
+    rows = spark.range(400).selectExpr("id AS i", "concat_ws(' ', 'a', 'b', 'c', 'w' || id % 7) AS t")
+    few, many = joins.title_classes(rows, "i", "t", 60), joins.title_classes(rows, "i", "t", 60, few=6)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == [(i, i % 7, 399) for i in range(400)]
+    ran = few._jdf.queryExecution()
+    assert ran.optimizedPlan().toString().count("split(") == 1
+    assert "rightHint=(strategy=broadcast)" in ran.optimizedPlan().toString() and "SortMergeJoin" in many._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_query_blocks_meet_corpus_slices(spark):
     """Queries beyond a block give what a broadcast of all gives."""
     import numpy as np
