@@ -6,9 +6,12 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terraloom.operators.metrics import ranked
 from terraloom.operators.state import cut
@@ -79,19 +82,143 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score, rank of the k best documents. Postings meet the query terms in an equi-join; only their terms are counted."""
-    q = queries.select(query_id, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    docs = corpus.select(doc_id, terms(F.col(text)).alias("_w")).withColumn("_len", F.size("_w"))
+def bm25(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, block: int = 4096, most: int = 500_000) -> DataFrame:
+    """query_id, doc_id, score, rank of the k best documents.
+
+    Up to `block` queries with `most` terms are broadcast. Texts are read once: a task counts the broadcast terms in its texts, counts are dealt by document, and a task
+    scores its documents against all queries and keeps the k best of each; a limited window merges those. For more queries, postings meet terms in equi-joins.
+    """
+    asked = queries.select(query_id, F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("_times"))
+    docs = corpus.select(doc_id, terms(F.col(text)).alias("_w"))
+    some = asked.limit(most + 1).collect()
+    if len(some) > most or len({r[0] for r in some}) > block:
+        return _bm25_joined(asked, docs.withColumn("_len", F.size("_w")), k, query_id, doc_id, k1, b)
+    words, ids = sorted({r[1] for r in some}), list(dict.fromkeys(r[0] for r in some))
+    place, column = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(ids)}
+    sc, kinds = corpus.sparkSession.sparkContext, {n: x.schema[n].dataType.simpleString() for n, x in ((doc_id, corpus), (query_id, queries))}
+    counted = docs.mapInArrow(_counts(sc.broadcast(words), doc_id), f"`{doc_id}` {kinds[doc_id]}, _len int, _t array<int>, _tf array<int>")
+    # Written once: the document frequencies, the mean length and the scores read the counts. A checkpoint keeps its partitions and their order.
+    tf = cut(counted.repartition(doc_id).sortWithinPartitions(doc_id))
+    n, total = tf.agg(F.count("*"), F.coalesce(F.sum("_len"), F.lit(0))).first()
+    df = np.ones(len(words))
+    for t, found in tf.mapInArrow(_frequencies, "_t int, n long").groupBy("_t").agg(F.sum("n")).collect():
+        df[t] = found
+    idf, meets = np.log(1 + (n - df + 0.5) / (df + 0.5)), [([], []) for _ in words]
+    for q, w, times in some:
+        meets[place[w]][0].append(column[q])
+        meets[place[w]][1].append(times)
+    ids = pa.Table.from_arrays([pa.array(ids, to_arrow_type(queries.schema[query_id].dataType))], ["id"])
+    sent = sc.broadcast((ids, idf, [(np.array(c), np.array(m, np.float64)) for c, m in meets], total / n if n else 0.0))
+    scored = tf.mapInArrow(_scores(sent, k, k1, b, [query_id, doc_id, "score"]), f"`{query_id}` {kinds[query_id]}, `{doc_id}` {kinds[doc_id]}, score double")
+    return ranked(scored, [query_id], [F.desc("score"), F.col(doc_id)], k)
+
+
+def _counts(sent, doc_id: str, rows: int = 1000):
+    """The places of the broadcast words that stand in a list of words, and how often each does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, base = pa.array(sent.value, pa.string()), max(len(sent.value), 1)
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                size = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int32)
+                found = pc.index_in(part.column(1).flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+                keys, tf = np.unique(np.repeat(np.arange(len(size)), size)[found >= 0] * base + found[found >= 0], return_counts=True)
+                ends = pa.array(np.searchsorted(keys, np.arange(len(size) + 1) * base).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (keys % base, tf)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), *lists], [doc_id, "_len", "_t", "_tf"])
+
+    return run
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Names, and the first row of each document, of rows sorted by document; then document, length, word and count of what they hold, where equal ones of the
+    first three are one. A document's rows wait for its last one."""
+
+    def whole(part: pa.Table):
+        names = part.column(0).combine_chunks()
+        first = _starts(names)
+        lists = part.column(2).combine_chunks()
+        held = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(names)])), held)
+        size, place, tf = np.repeat(part.column(1).to_numpy(), held), lists.flatten().to_numpy(), part.column(3).combine_chunks().flatten().to_numpy()
+        if len(first) < len(names) and len(doc):
+            order = np.lexsort((place, size, doc))
+            doc, size, place, tf = doc[order], size[order], place[order], tf[order]
+            new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(size) != 0) | (np.diff(place) != 0)])
+            doc, size, place, tf = doc[new], size[new], place[new], np.add.reduceat(tf, new)
+        return names, first, doc, size, place, tf
+
+    rest = None
+    for batch in batches:
+        here = pa.Table.from_batches([batch])
+        here = here if rest is None else pa.concat_tables([rest, here])
+        last = int(_starts(here.column(0).combine_chunks())[-1]) if here.num_rows else 0
+        if last:
+            yield whole(here.slice(0, last))
+        rest = here.slice(last)
+    if rest is not None and rest.num_rows:
+        yield whole(rest)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for *_, place, _ in _documents(batches):
+        keys, n = np.unique(place, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n.astype(np.int64))], ["_t", "n"])
+
+
+def _scores(sent, k: int, k1: float, b: float, names: list[str], cells: int = 1_000_000):
+    """The k best documents of each broadcast query among rows of counts that are sorted by document."""
+
+    def best(docs, first, doc, size, place, tf) -> Iterator[pa.RecordBatch]:
+        ids, idf, meets, mean = sent.value
+        if not len(doc):
+            return
+        weight = idf[place] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
+        step = max(1, cells // ids.num_rows)
+        for at in range(0, len(first), step):
+            lo, hi = np.searchsorted(doc, [at, at + step])
+            n = min(step, len(first) - at)
+            # Rows of one id with texts of several lengths add up.
+            keys, where = np.unique(place[lo:hi].astype(np.int64) * n + doc[lo:hi] - at, return_inverse=True)
+            sums, scores = np.bincount(where, weight[lo:hi]), np.zeros((n, ids.num_rows))
+            edges = np.flatnonzero(np.r_[True, np.diff(keys // n) > 0, True])
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                columns, times = meets[keys[x] // n]
+                scores[np.ix_(keys[x:y] % n, columns)] += sums[x:y, None] * times
+            # Every shared term adds more than 0, so a document without one stays at 0, whatever rounding makes of small scores.
+            rounded = np.where(scores > 0, np.floor(scores * 1e6 + 0.5) / 1e6, -1.0)
+            order = np.argsort(-rounded, axis=0, kind="stable")[:k]
+            held = np.take_along_axis(rounded, order, 0)
+            pick, query = np.nonzero(held >= 0)
+            yield pa.RecordBatch.from_arrays([ids.column(0).combine_chunks().take(pa.array(query)), docs.take(pa.array(first[at + order[pick, query]])), pa.array(held[pick, query])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _documents(batches):
+            yield from best(*part)
+
+    return run
+
+
+def _starts(names: pa.Array) -> np.ndarray:
+    """Where runs of equal values (nulls are equal) begin."""
+    if len(names) < 2:
+        return np.arange(len(names))
+    a, b = names[1:], names[:-1]
+    differs = pc.if_else(pc.and_(pc.is_valid(a), pc.is_valid(b)), pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_valid(a), pc.is_valid(b)))
+    return np.flatnonzero(np.r_[True, differs.to_numpy(zero_copy_only=False)])
+
+
+def _bm25_joined(asked: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, k1: float, b: float) -> DataFrame:
+    """`bm25` for any number of queries. Postings meet the query terms in an equi-join; only their terms are counted."""
     stats = docs.agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"))
-    asked = q.select("term").distinct()
     # Written once: both the document frequencies and the scores read the counts.
-    tf = cut(docs.select(doc_id, "_len", F.explode("_w").alias("term")).join(asked, "term", "left_semi").groupBy(doc_id, "_len", "term").agg(F.count("*").alias("tf")))
+    tf = cut(docs.select(doc_id, "_len", F.explode("_w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc_id, "_len", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("_mean")))
-    scored = q.join(weighted.select(doc_id, "term", score.alias("s")), "term").groupBy(query_id, doc_id).agg(F.round(F.sum("s"), 6).alias("score"))
+    scored = asked.join(weighted.select(doc_id, "term", score.alias("s")), "term").groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("s") * F.col("_times")), 6).alias("score"))
     return ranked(scored, [query_id], [F.desc("score"), F.col(doc_id)], k)
 
 

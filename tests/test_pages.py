@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,42 @@ def test_copies_of_titles_meet_once(spark):
     assert found.groupBy("similarity").count().orderBy("similarity").collect() == [(0.6, 400 * 300), (1.0, 400 * 100)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate"), "pairs of rows are aggregated, hence shuffled"
+
+
+def test_bm25_reads_texts_once_and_shuffles_no_pairs(spark):
+    """Broadcast queries give what joins give: ties, repeated and null ids, empty and null texts, terms of no text and queries given twice."""
+    from terraloom.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(words[int(x)] for x in rng.zipf(1.6, n) % 30)
+    texts = [(i, text(int(rng.integers(1, 40)))) for i in range(300)] + [(7, "w1 w2"), (7, "w1 w2"), (7, "w3 w1 w1"), (None, "w1 w4"), (None, None), (400, None), (401, " "), (402, "W1, w1!")]
+    texts += [(500 + i, texts[i][1]) for i in range(50)]
+    asked = [(str(i), text(6)) for i in range(20)] + [("a", "w1 never"), ("a", "w1 w2"), (None, "w3"), ("b", "never"), ("c", None)]
+    corpus, queries = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(asked, "query_id string, text string")
+    found = retrieval.bm25(queries, corpus, 7)
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got, key=str) == sorted((tuple(r) for r in retrieval.bm25(queries, corpus, 7, block=0).collect()), key=str)
+    assert {r[0] for r in got} == {str(i) for i in range(20)} | {"a", None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    assert retrieval.bm25(queries.where("query_id = 'b'"), corpus, 7).count() == 0 == retrieval.bm25(queries.limit(0), corpus, 7).count() == retrieval.bm25(queries, corpus.limit(0), 7).count()
+
+
+def test_counts_are_scored_across_batches():
+    """A document whose counts come in several batches is scored as one."""
+    import pyarrow as pa
+
+    from terraloom.operators import retrieval
+
+    ids = pa.Table.from_arrays([pa.array(["q"])], ["id"])
+    sent = type("Sent", (), {"value": (ids, np.ones(4), [(np.array([0]), np.array([1.0]))] * 4, 10.0)})
+    rows = [(d, 10, [t], [1 + (d + t) % 3]) for d in range(20_000) for t in range(4)]
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    whole = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["d", "_len", "_t", "_tf"])
+    score = lambda d: sum(f * 2.2 / (f + 1.2) for f in (1 + (d + t) % 3 for t in range(4)))
+    found = {}
+    for batch in retrieval._scores(sent, 5, 1.2, 0.75, ["query_id", "d", "score"])(iter([whole.slice(i, 4999) for i in range(0, len(rows), 4999)])):
+        found |= {r["d"]: r["score"] for r in batch.to_pylist()}
+    assert len(found) >= 5 and all(abs(s - score(d)) < 1e-6 for d, s in found.items())
+    assert sorted(sorted(found), key=lambda d: (-found[d], d))[:5] == sorted(range(20_000), key=lambda d: (-round(score(d), 6), d))[:5]
